@@ -121,13 +121,14 @@ def task_sets(bands: Bands):
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             data, at = common.utf8(b.column(1))
-            n, print_, short = [], [], []
+            n, print_, short, counts = [], [], [], []
             for x, y in zip(at[:-1], at[1:], strict=True):
                 tokens = shingles(data[x:y])
                 n.append(len(tokens))
                 print_.append(fingerprint(tokens) if len(tokens) else None)
                 short.append(bands.of(len(tokens)) if len(tokens) and bands.short(tokens) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(print_, pa.int64()), pa.array(short, pa.int32())], ["doc_id", "n", "print", "short"])
+                counts.append(sketch(tokens).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(print_, pa.int64()), pa.array(short, pa.int32()), pa.array(counts, pa.binary())], ["doc_id", "n", "print", "short", "counts"])
 
     return task
 
@@ -161,7 +162,7 @@ def task_members(bits: np.ndarray):
             pick = np.flatnonzero((bits[(at_bit >> np.uint64(6)).astype(np.int64)] >> (at_bit & np.uint64(63))) & np.uint64(1))
             data, at = common.utf8(b.column(1))
             sets = [shingles(data[at[k] : at[k + 1]]) for k in pick]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[pick]), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "counts", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[pick]), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "tokens"])
 
     return task
 
@@ -291,38 +292,40 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num
     common.small_batches(spark)
     docs = common.id_text(docs, id_col, text_col)
     ratio, bands = (numerator, denominator), Bands(numerator, denominator)
-    sets = common.cut(docs.mapInArrow(task_sets(bands), "doc_id long, n long, print long, short int"), "sets")
+    sets = common.cut(docs.mapInArrow(task_sets(bands), "doc_id long, n long, print long, short int, counts binary"), "sets")
     short = {r[0] for r in sets.select("short").filter("short is not null").distinct().collect()}  # a few dozen bands at most
-    bands = Bands(numerator, denominator, frozenset(short))
-    classes = common.cut(sets.filter("print is not null").groupBy("print").agg(F.min("doc_id").alias("node")), "classes")
-
-    entries = docs.mapInArrow(task_entries(bands), "key long, node long")
-    by_key = Window.partitionBy("key")
-    shared = entries.withColumns({"lo": F.min("node").over(by_key), "hi": F.max("node").over(by_key), "own": F.max(F.col("node").bitwiseAND(1)).over(by_key)})
-    shared = shared.filter("own = 1 and shiftright(lo, 1) != shiftright(hi, 1)").select("key", "node").distinct()
-    shared = shared.select("key", F.expr("shiftright(node, 1)").alias("print"), (F.col("node").bitwiseAND(1) == 1).alias("own"))
-    index = common.cut(shared.join(classes, "print").select("key", "node", "own"), "index")
+    classes = sets.filter("print is not null").groupBy("print").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("counts").alias("counts"))
+    classes = common.cut(classes, "classes")
+    index = shared_entries(docs, classes, Bands(numerator, denominator, frozenset(short)))
     free(spark)
 
-    nodes = index.select("node").distinct()
-    nodes = common.cut(nodes, "nodes")
-    bits = row_filter(nodes)
-    held = docs.mapInArrow(task_members(bits), "node long, n long, counts binary, tokens binary").dropDuplicates(["node"])
-    held = common.cut(held.join(nodes, "node", "left_semi"), "held")
+    near = common.cut(candidates(index, classes, None, ratio, True), "near")
+    # whoever has a candidate at all has a nearest one, so these sets are all that is ever compared
+    nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = common.cut(docs.mapInArrow(task_members(row_filter(nodes)), "node long, tokens binary").dropDuplicates(["node"]), "held")
     free(spark)
 
-    label, edges = None, None
-    for best in (True, True, False):
-        pairs = candidates(index, held, label, ratio, best)
-        found = verified(pairs, held, ratio)
-        edges = found if edges is None else edges.union(found)
-        label = components(edges)
-        edges = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    label = components(verified(near, held, ratio))
+    for best in (True, False):
         free(spark)
-    out = sets.join(classes, "print", "left").join(label, "node", "left")
+        found = verified(candidates(index, classes, label, ratio, best), held, ratio)
+        label = components(found.union(label.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        del found
+    free(spark)
+    out = sets.join(classes.select("print", "node"), "print", "left").join(label, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
 
 
+def shared_entries(docs: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
+    """key, node, own of the index entries that different sets share, one of them under its own band."""
+    entries = docs.mapInArrow(task_entries(bands), "key long, node long")
+    by_key = Window.partitionBy("key")
+    shared = entries.withColumns({"lo": F.min("node").over(by_key), "hi": F.max("node").over(by_key), "own": F.max(F.col("node").bitwiseAND(1)).over(by_key)})
+    shared = shared.filter("own = 1 and shiftright(lo, 1) != shiftright(hi, 1)").select("key", "node").distinct()
+    shared = shared.select("key", F.expr("shiftright(node, 1)").alias("print"), (F.col("node").bitwiseAND(1) == 1).alias("own"))
+    return common.cut(shared.join(classes.select("print", "node"), "print").select("key", "node", "own"), "index")
+
+
 def row_filter(nodes: DataFrame) -> np.ndarray:
     """A bitmap of FILTER_BITS bits, whatever the input, that lets through every given node and few others."""
 

@@ -154,15 +154,20 @@ def task_entries(bands: Bands):
     return task
 
 
+def passing(bits: np.ndarray, nodes: pa.Array) -> np.ndarray:
+    """The rows that a bitmap of row_filter lets through; a null never passes."""
+    at = common.mix(nodes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)
+    on = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+    return np.flatnonzero(on.astype(bool) & nodes.is_valid().to_numpy(zero_copy_only=False))
+
+
 def task_members(bits: np.ndarray):
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            at_bit = common.mix(ids.view(np.uint64)) % np.uint64(FILTER_BITS)
-            pick = np.flatnonzero((bits[(at_bit >> np.uint64(6)).astype(np.int64)] >> (at_bit & np.uint64(63))) & np.uint64(1))
+            pick = passing(bits, b.column(0))
             data, at = common.utf8(b.column(1))
             sets = [shingles(data[at[k] : at[k + 1]]) for k in pick]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[pick]), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pick)), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "tokens"])
 
     return task
 
@@ -197,20 +202,20 @@ def task_pairs(ratio: tuple[int, int], best: bool):
             live = live[live + step < len(keys)]
             live = live[keys[live] == keys[live + step]]
         if not left:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return (np.zeros(0, np.int64),) * 3
         left, right, gap = np.concatenate(left), np.concatenate(right), np.concatenate(gap)
         if best and len(left):
             who, to = np.concatenate((left, right)), np.concatenate((right, left))
             order = np.lexsort((nodes[to], np.concatenate((gap, gap)), who))
             order = order[np.concatenate(([True], who[order][1:] != who[order][:-1]))]
-            left, right = who[order], to[order]
+            return nodes[who[order]], nodes[to[order]], np.concatenate((gap, gap))[order].astype(np.int64)
         a, z = nodes[left], nodes[right]
-        return np.minimum(a, z), np.maximum(a, z)
+        return np.minimum(a, z), np.maximum(a, z), np.zeros(len(a), np.int64)
 
     def emit(b: pa.RecordBatch) -> pa.RecordBatch:
-        a, z = pairs(b.column("piece").to_numpy(zero_copy_only=False), b.column("part").to_numpy(zero_copy_only=False), b) if b.num_rows > 1 else (np.zeros(0, np.int64),) * 2
-        both = np.unique(np.stack((a, z), 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+        found = pairs(b.column("piece").to_numpy(zero_copy_only=False), b.column("part").to_numpy(zero_copy_only=False), b) if b.num_rows > 1 else (np.zeros(0, np.int64),) * 3
+        rows = np.unique(np.stack(found, 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, k].copy()) for k in range(3)], ["a", "b", "gap"])
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -302,15 +307,17 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num
     near = common.cut(candidates(index, classes, None, ratio, True), "near")
     # whoever has a candidate at all has a nearest one, so these sets are all that is ever compared
     nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = common.cut(docs.mapInArrow(task_members(row_filter(nodes)), "node long, tokens binary").dropDuplicates(["node"]), "held")
+    held = docs.mapInArrow(task_members(row_filter(nodes)), "node long, tokens binary")
+    if not sets.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        held = held.dropDuplicates(["node"])
+    held = common.cut(held, "held")
     free(spark)
 
     label = components(verified(near, held, ratio))
     for best in (True, False):
         free(spark)
-        found = verified(candidates(index, classes, label, ratio, best), held, ratio)
-        label = components(found.union(label.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        del found
+        links = verified(candidates(index, classes, label, ratio, best), held, ratio)
+        label = components(links.union(label.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     free(spark)
     out = sets.join(classes.select("print", "node"), "print", "left").join(label, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
@@ -341,7 +348,7 @@ def row_filter(nodes: DataFrame) -> np.ndarray:
 
 
 def candidates(index: DataFrame, held: DataFrame, label: DataFrame | None, ratio: tuple[int, int], best: bool) -> DataFrame:
-    """Distinct pairs that share an index entry, lie in different components and pass the bound.
+    """Distinct pairs that share an index entry, lie in different components and pass the bound; best: each node's nearest only.
 
     A key's members are compared in pieces of one or two blocks of about BLOCK members, dealt out by piece, so that no task gets a
     whole hot key.
@@ -355,14 +362,25 @@ def candidates(index: DataFrame, held: DataFrame, label: DataFrame | None, ratio
     at = at.withColumn("piece", F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", lower, upper))).withColumn("alone", lower == upper)
     at = at.select("piece", "part", "alone", "node", "own", "component").join(held.select("node", "n", "counts"), "node")
     at = at.repartition("piece").sortWithinPartitions("piece", "node")
-    return at.mapInArrow(task_pairs(ratio, best), "a long, b long").distinct()
+    found = at.mapInArrow(task_pairs(ratio, best), "a long, b long, gap long")
+    if best:  # of all the keys of a node
+        found = found.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, held: DataFrame, ratio: tuple[int, int]) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
+    """The pairs whose whole sets are similar enough. A bitmap keeps sets that no pair names out of the joins' shuffles."""
+    pairs = common.cut(pairs, "pairs")
+    bits = row_filter(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+
+    def named(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield b.take(pa.array(passing(bits, b.column(0))))
+
+    held = held.mapInArrow(named, held.schema)
     with_x = pairs.join(held.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
     both = with_x.join(held.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.mapInArrow(task_verify(ratio), "a long, b long")
+    return common.cut(both.mapInArrow(task_verify(ratio), "a long, b long"), "links")
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ class Encoder:
     def learn(self, new: list[str]) -> None:
         """Encode units: those without the special string joined by it, in one call."""
         safe, odd = [u for u in new if "<|" not in u], [u for u in new if "<|" in u]
-        ids = np.array(self.marked.encode(self.mark.join(safe), add_special_tokens=False).ids, np.uint32) if safe else np.zeros(0, np.uint32)
+        ids = np.array(self.marked.encode_batch_fast([self.mark.join(safe)], add_special_tokens=False)[0].ids, np.uint32) if safe else np.zeros(0, np.uint32)
         cuts = np.flatnonzero(ids == self.mark_id)
         parts = [ids[a:b] for a, b in zip(np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(ids)])), strict=True)] if safe else []
         assert len(parts) == len(safe), "a unit encodes to the mark"

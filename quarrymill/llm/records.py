@@ -81,7 +81,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         part, before, at, out = TaskContext.get().partitionId(), 0, 0, None
         name = f"part-{part:05d}-{uuid.uuid4().hex}.rec"
         try:
-            for b in common.batches(it, 4000, 16 << 20):
+            for b in common.batches(it, 1500, 6 << 20):
                 if out is None:
                     files_at, folder = store(path)
                     files_at.create_dir(f"{folder}/data")

@@ -29,10 +29,10 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     path = path or tokens.default_path(FILE)
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(path, False)
+        encode = tokens.encoder(path)
         for b in common.batches(it, 4000, 16 << 20):
             rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
                 ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]

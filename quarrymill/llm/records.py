@@ -12,6 +12,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from . import common, tokens
 
 FILE, END_ID = "byte_bpe_50k.json", 2
 MASK_DELTA = 0xA282EAD8
+COLUMNS = pa.schema([("doc_id", pa.int64()), ("file", pa.string()), ("part", pa.int32()), ("at", pa.int64()), ("size", pa.int64()), ("n_tokens", pa.int64()), ("before", pa.int64())])
 INDEX = "doc_id long, file string, part int, at long, size long, n_tokens long, before long"
 
 
@@ -32,12 +34,18 @@ def masked(data: bytes) -> int:
     return ((c >> 15 | c << 17) + MASK_DELTA) & 0xFFFFFFFF
 
 
-def frame(doc_id: int, ids: np.ndarray) -> bytes:
+@cache
+def press():
+    """One compressor a Python worker."""
     import zstandard
 
+    return zstandard.ZstdCompressor(level=1, write_content_size=True)
+
+
+def frame(doc_id: int, ids: np.ndarray) -> bytes:
     width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
     raw = ids.astype(f"<u{width}").tobytes()
-    small = zstandard.ZstdCompressor(level=1, write_content_size=True).compress(raw)
+    small = press().compress(raw)
     body = struct.pack("<qB", doc_id, width | 128) + small if len(small) < len(raw) else struct.pack("<qB", doc_id, width) + raw
     size = struct.pack("<I", len(body))
     return size + struct.pack("<I", masked(size)) + body + struct.pack("<I", masked(body))
@@ -77,7 +85,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(vocabulary, True)
+        encode = tokens.encoder(vocabulary)
         part, before, at, out = TaskContext.get().partitionId(), 0, 0, None
         name = f"part-{part:05d}-{uuid.uuid4().hex}.rec"
         try:
@@ -87,12 +95,13 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                     files_at.create_dir(f"{folder}/data")
                     out = files_at.open_output_stream(f"{folder}/data/{name}")
                 rows = []
-                for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
                     record = frame(doc, np.append(ids, np.uint32(end_id)))
                     out.write(record)
                     rows.append((doc, name, part, at, len(record), len(ids) + 1, before))
                     at, before = at + len(record), before + len(ids) + 1
-                yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "file", "part", "at", "size", "n_tokens", "before"), r, strict=True)) for r in rows], pa.schema([("doc_id", pa.int64()), ("file", pa.string()), ("part", pa.int32()), ("at", pa.int64()), ("size", pa.int64()), ("n_tokens", pa.int64()), ("before", pa.int64())]))
+                columns = list(zip(*rows, strict=True)) or [()] * len(COLUMNS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, COLUMNS.types, strict=True)], schema=COLUMNS)
         finally:
             if out is not None:
                 out.close()

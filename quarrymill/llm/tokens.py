@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-import re
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-#: Distinct units that a task remembers before it starts afresh.
-REMEMBER = 800_000
-#: A blank beside other white space where the two may share a token.
-BESIDE = re.compile(r" \s|\s \Z")
+from . import common
+
+#: Distinct units, and characters of them, that a task remembers before it starts afresh.
+REMEMBER, REMEMBER_CHARS = 800_000, 12_000_000
+#: Classes of bytes. Solid: visible ASCII; gap: blank or line feed; mark: punctuation that ends a run of letters.
+SOLID, LETTER, GAP, MARK = 1, 2, 4, 8
+CLASS = np.zeros(256, np.uint8)
+CLASS[0x21:0x7F] |= SOLID
+CLASS[[*range(65, 91), *range(97, 123)]] |= LETTER
+CLASS[[0x20, 0x0A]] |= GAP
+CLASS[[ord(c) for c in ".,!?;:%"]] |= MARK
+#: First byte of U+00C0 to U+00FF in UTF-8, and the last of the two that are no letters.
+LATIN, TIMES, OVER = 0xC3, 0x97, 0xB7
 
 
 def default_path(name: str) -> str:
@@ -21,24 +28,34 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Encodes texts as the tokenizers library does, without special tokens.
+def unit_starts(data: np.ndarray) -> np.ndarray:
+    """Where, in UTF-8 bytes, a unit starts: both vocabularies' rules divide a text there whatever stands around.
 
-    No token of a byte-level or word-end BPE vocabulary spans the gap before a blank between words, so a text splits there into units
-    that encode alone. Texts in which a blank stands before other white space go to the library whole.
+    Before a blank or line feed after a visible character, before a mark after a letter, and after a line feed between two visible
+    characters. What is visible or a letter is told for ASCII and U+00C0 to U+00FF; elsewhere units just stay longer.
     """
+    kind, starts, latin = CLASS[data], np.zeros(len(data), bool), np.zeros(len(data), bool)
+    latin[1:] = data[:-1] == LATIN
+    solid, letter = (kind & SOLID != 0) | latin, (kind & LETTER != 0) | (latin & (data != TIMES) & (data != OVER))
+    starts[1:] = (solid[:-1] & (kind[1:] & GAP != 0)) | (letter[:-1] & (kind[1:] & MARK != 0))
+    starts[1:] |= (starts & (data == 0x0A))[:-1] & ((kind & SOLID != 0) | (data == LATIN))[1:]
+    return starts
+
+
+class Encoder:
+    """Encodes texts as the tokenizers library does, without special tokens, by the units of unit_starts()."""
 
-    def __init__(self, path: str, blank_leads: bool):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.plain, self.marked = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.lead = " " if blank_leads else ""
         self.mark, self.mark_id = next((t.content, i) for i, t in sorted(self.plain.get_added_tokens_decoder().items(), reverse=True))
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size, self.units = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
@@ -62,42 +79,31 @@ class Encoder:
         self.known.update(zip(safe + odd, range(self.units, self.units + len(parts)), strict=True))
         self.used += len(more)
         self.units += len(parts)
+        self.chars += sum(map(len, new))
 
     def places(self, units: list[str]) -> np.ndarray:
         if new := list(dict.fromkeys(u for u in units if u not in self.known)):
             self.learn(new)
         return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        if self.units > REMEMBER:
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string column without nulls."""
+        if self.units > REMEMBER or self.chars > REMEMBER_CHARS:
             self.forget()
-        whole = [k for k, t in enumerate(texts) if BESIDE.search(t)] if self.lead else []
-        hidden = set(whole)
-        column = pa.array(["" if k in hidden else t for k, t in enumerate(texts)], pa.large_string())
-        lists = pc.split_pattern(column, " ")
-        at = lists.offsets.to_numpy().astype(np.int64)
-        coded = lists.values.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        units = self.places([self.lead + u for u in names])[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        data, at = common.utf8(texts)
+        data, at = data[at[0] : at[-1]], at - at[0]
+        edges = np.unique(np.concatenate((np.flatnonzero(unit_starts(data)), at)))
+        coded = pa.Array.from_buffers(pa.large_string(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        units = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
         sizes = self.size[units]
-        if self.lead:
-            first = at[:-1]
-            units = units.copy()
-            units[first] = self.places(["" if k in hidden else t.partition(" ")[0] for k, t in enumerate(texts)])
-            sizes = self.size[units]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.start[units] - (ends - sizes), sizes) + np.arange(total)]
-        bounds = np.concatenate(([0], ends))[at]
-        out = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        if whole:
-            for k, e in zip(whole, self.plain.encode_batch([texts[k] for k in whole], add_special_tokens=False), strict=True):
-                out[k] = np.array(e.ids, np.uint32)
-        return out
+        bounds = np.concatenate(([0], ends))[np.searchsorted(edges, at)]
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 @cache
-def encoder(path: str, blank_leads: bool) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One a Python worker: later tasks find its units known."""
-    return Encoder(path, blank_leads)
+    return Encoder(path)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from . import common
 
 #: Distinct units, and characters of them, that a task remembers before it starts afresh.
-REMEMBER, REMEMBER_CHARS = 800_000, 12_000_000
+REMEMBER, REMEMBER_CHARS = 1_200_000, 12_000_000
 #: Classes of bytes. Solid: visible ASCII; gap: blank or line feed; mark: punctuation that ends a run of letters.
 SOLID, LETTER, GAP, MARK = 1, 2, 4, 8
 CLASS = np.zeros(256, np.uint8)

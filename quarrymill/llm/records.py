@@ -111,8 +111,11 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     return spark.read.schema(INDEX).parquet(f"{path}/index")
 
 
-def read(spark: SparkSession, path: str, index: DataFrame | None = None) -> DataFrame:
-    """doc_id, start (ids of all documents before it), and ids, read from record files by the index or a part of it, in any order."""
+def read(spark: SparkSession, path: str, index: DataFrame | None = None, packed: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before it), and ids, read from record files by the index or a part of it, in any order.
+
+    packed: ids as little-endian unsigned 32-bit integers in one binary value, else as an array.
+    """
     whole = spark.read.schema(INDEX).parquet(f"{path}/index")
     totals = whole.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # a row for each file
     totals = totals.select(F.col("part"), F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
@@ -130,29 +133,32 @@ def read(spark: SparkSession, path: str, index: DataFrame | None = None) -> Data
                 docs.append(doc)
                 ids.append(x)
                 starts.append(r["start"])
-            values = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
-            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32), values)
+            if packed:
+                lists = pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
+            else:
+                values = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
+                lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32), values)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), lists], ["doc_id", "start", "ids"])
 
     common.ship(spark)
-    return rows.mapInArrow(task, "doc_id long, start long, ids array<int>")
+    return rows.mapInArrow(task, f"doc_id long, start long, ids {'binary' if packed else 'array<int>'}")
 
 
-def digests(records: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of what read() returns."""
+def task_pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        at, values = b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy().astype("<u4")
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([values[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "start", "ids"])
 
-    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            lists = b.column(2)
-            at, values = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
-            crc = [zlib.crc32(values[x:y].tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return records.mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def digests(records: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of what read() returns, arrays or packed; packed ids need no Python."""
+    if records.schema["ids"].dataType.typeName() == "array":
+        records = records.mapInArrow(task_pack, "doc_id long, start long, ids binary")
+    return records.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def op4_records(spark, sf_dir: str) -> DataFrame:
     """Write all documents, read the files back and digest what they hold."""
     path = common.fresh_path(spark, "records")
     write(common.table(spark, sf_dir, "documents"), path)
-    return digests(read(spark, path))
+    return digests(read(spark, path, packed=True))

@@ -129,6 +129,7 @@ def test_tokens_records_and_packing(spark, docs):
     path = f"file://{tempfile.mkdtemp()}/r"
     records.write(docs, path)
     got = sorted(collect(records.digests(records.read(spark, path)), "doc_id", "start", "n_tokens", "ids_crc32"))
+    assert got == sorted(collect(records.digests(records.read(spark, path, packed=True)), "doc_id", "start", "n_tokens", "ids_crc32"))
     at = 0
     for (k, start, n, crc), r in zip(got, sorted(docs.collect(), key=lambda r: r.doc_id), strict=True):
         ids = np.array([*byte.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")

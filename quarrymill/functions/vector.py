@@ -37,3 +37,12 @@ def preview(v, shown: int = 8) -> Column:
 
 def literal(v, digits: int = 8) -> Column:
     return F.transform(doubles(v), lambda x: F.round(x, digits))
+
+
+def hashed(t, dimensions: int = 1024) -> Column:
+    """A vector of length 1 that depends on the trimmed lower-case text only: bytes of its SHA-256 digests, from -1 to 1."""
+    key = F.lower(F.trim(t))
+    hexes = F.concat(*(F.sha2(F.concat(key, F.lit(f":{at}")), 256) for at in range(0, dimensions, 32)))
+    values = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.conv(F.substr(hexes, 2 * k + 1, F.lit(2)), 16, 10).cast("double") / 255 * 2 - 1)
+    with_norm = F.transform(F.array(values), lambda v: F.struct(v.alias("v"), norm(v).alias("n")))  # a lambda, so that digests are made once
+    return F.element_at(F.transform(with_norm, lambda p: F.transform(p["v"], lambda x: x / p["n"])), 1)

@@ -74,3 +74,24 @@ def align(requirements: DataFrame, materials: DataFrame) -> DataFrame:
     inside_r = r.withColumn("key", F.explode(pieces("r_name"))).join(m.withColumn("key", head("m_name")), ["source", "key"]).filter(F.col("r_name").contains(F.col("m_name")))
     pairs = inside_m.unionByName(inside_r).drop("key").filter("r_subject != m_subject and r_edge != m_edge").distinct()
     return pairs.withColumn("confidence", F.greatest(F.lit(0.5), 0.86 * F.least("r_conf", "m_conf")))
+
+
+def expand_until(seeds: DataFrame, bridge: DataFrame, event_col: str, entity_col: str, target: int, retries: int) -> DataFrame:
+    """Events reached from the seeds, hop by hop, until target events are found or so many hops are done; whole hops, seeds left out."""
+    seen = settle(seeds.select(event_col).distinct())
+    frontier, found, met = seen, None, None
+    for _ in range(retries if target > 0 else 0):
+        entities = neighbours(frontier, bridge, event_col, entity_col, met)
+        frontier = settle(neighbours(entities, bridge, entity_col, event_col, seen))
+        met = entities if met is None else met.union(entities)
+        seen, found = seen.union(frontier), frontier if found is None else found.union(frontier)
+        if found.count() >= target or frontier.isEmpty():
+            break
+    return found if found is not None else seen.limit(0)
+
+
+def edges_at(edges: DataFrame, nodes: DataFrame, subject: str, object_: str) -> DataFrame:
+    """Edges with either end among nodes (column node), by two joins rather than one with an or."""
+    left = edges.join(nodes.select(F.col("node").alias(subject)), subject, "left_semi").select(edges.columns)
+    right = edges.join(nodes.select(F.col("node").alias(object_)), object_, "left_semi").select(edges.columns)
+    return left.union(right).distinct()

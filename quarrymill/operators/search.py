@@ -58,3 +58,31 @@ def keyword_rerank(rows: DataFrame, query: str, text_col: str, score_col: str, i
     """Order by how many of the query's keywords are the text's keywords too, plus the score."""
     shared = F.size(F.array_intersect(text.keywords(F.lit(query)), text.keywords(F.col(text_col))))
     return rows.withColumn("rerank", shared + F.col(score_col)).orderBy(F.desc("rerank"), id_col).limit(k)
+
+
+def edge_scores(rows: DataFrame, query: str, subject: str, object_: str, label: str) -> DataFrame:
+    """Edges whose ends or label resemble the query or hold one of its terms; score: the greatest of the similarities, 1.0 for a term
+    in an end, 0.8 for one in the label."""
+    terms = text.query_terms(query)
+    near = [text.similarity(F.col(c), F.lit(query.lower())) for c in (subject, object_, label)]
+    ends, named = text.contains_any(F.concat_ws(" ", subject, object_), terms), text.contains_any(F.col(label), terms)
+    score = F.greatest(*near, F.when(ends, 1.0), F.when(named, 0.8))
+    return rows.filter(reduce(lambda a, b: a | b, [x >= 0.3 for x in near]) | ends | named).withColumn("score", score)
+
+
+def front_merge(sections: DataFrame, extra: DataFrame, most: int, id_col: str) -> DataFrame:
+    """id and position: extra ids not among sections stand before them, the last of them first, until most are reached.
+
+    Both have an ord; sections are a page (at most `most` rows). A full page still admits one extra.
+    """
+    room = max(1, most - sections.count())
+    new = extra.join(sections.select(id_col), id_col, "left_anti").groupBy(id_col).agg(F.min("ord").alias("ord")).orderBy("ord").limit(room)
+    both = new.select(id_col, F.lit(0).alias("part"), (-F.col("ord")).alias("ord")).unionByName(sections.select(id_col, F.lit(1).alias("part"), "ord"))
+    return both.select(id_col, F.row_number().over(Window.orderBy("part", "ord")).alias("position"))  # a page of rows
+
+
+def backfill(ranked: DataFrame, bridge: DataFrame, event_col: str, entity_col: str, order_col: str, events: int = 5, most: int = 8) -> DataFrame:
+    """Entities of the first ranked events (column rank), each once, in the order they come, at most so many."""
+    top = F.broadcast(ranked.orderBy("rank").limit(events))
+    found = bridge.join(top, event_col).groupBy(entity_col).agg(F.min(F.struct("rank", order_col)).alias("at")).orderBy("at", entity_col).limit(most)
+    return found.select(entity_col, F.row_number().over(Window.orderBy("at", entity_col)).alias("position"))

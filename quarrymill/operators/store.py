@@ -28,9 +28,9 @@ def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(*keys, F.greatest("confidence", "new_confidence").alias("confidence"), F.greatest("quality", "new_quality").alias("quality"), status.alias("status"))
 
 
-def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Of rows with equal keys, the first in the given order."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(keys).orderBy(*order))).filter("_n = 1").drop("_n")
+def latest(rows: DataFrame, keys: list[str], order: list, most: int = 1) -> DataFrame:
+    """Of rows with equal keys, the first in the given order, or the first few."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(keys).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
 
 
 def delete_documents(documents: DataFrame, events: DataFrame, bridge: DataFrame, entities: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:
@@ -45,3 +45,15 @@ def delete_documents(documents: DataFrame, events: DataFrame, bridge: DataFrame,
         "bridge": kept_bridge,
         "entities": entities.join(orphans, "entity_id", "left_anti"),
     }
+
+
+def merge_metadata(old, new):
+    """Two maps as one, in which new's keys win; nulls count as empty."""
+    none = F.create_map().cast("map<string,string>")
+    o, n = F.coalesce(old, none), F.coalesce(new, none)
+    return F.map_concat(F.map_filter(o, lambda k, _: ~F.map_contains_key(n, k)), n)
+
+
+def archive(rows: DataFrame, which, at: str, column: str = "archived_at") -> DataFrame:
+    """Rows with the given condition archived at that time; those already archived keep their first time."""
+    return rows.withColumn(column, F.when(which, F.coalesce(column, F.lit(at).cast(rows.schema[column].dataType))).otherwise(F.col(column)))

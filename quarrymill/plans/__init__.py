@@ -1,0 +1 @@
+from . import catalog, details  # noqa: F401  details adds to the catalog's queries

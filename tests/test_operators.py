@@ -1,7 +1,7 @@
 """Operators on small fixtures."""
 
-from quarrymill.operators import chunking, graph, store
-from quarrymill.functions import text
+from quarrymill.operators import chunking, graph, search, store
+from quarrymill.functions import fulltext, kinds, text
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,31 @@ def test_paths_never_repeat_a_node(spark):
 def test_titles(spark):
     rows = spark.createDataFrame([("Could you explain **vector** search?",), ("",)], "t string").select(text.conversation_title(F.col("t")).alias("t")).collect()
     assert [r.t for r in rows] == ["vector search", "New conversation"]
+
+
+def test_web_search_words_phrases_or_and_not(spark):
+    rows = spark.createDataFrame([(1, "Red wide bolt"), (2, "red bolt, wide"), (3, "blue BOLT"), (4, None)], "i int, t string")
+    found = lambda q: sorted(r.i for r in rows.filter(fulltext.matches(F.col("t"), q)).collect())
+    assert found("red bolt") == [1, 2] and found('"red bolt"') == [2] and found("red or blue") == [1, 2, 3]
+    assert found("bolt -red") == [3] and found("") == [] and found("or") == []
+
+
+def test_full_page_admits_one_extra_and_extras_stand_reversed(spark):
+    page = spark.createDataFrame([("a", 1), ("b", 2)], "id string, ord int")
+    extra = spark.createDataFrame([("b", 1), ("c", 2), ("d", 3), ("c", 4)], "id string, ord int")
+    order = lambda most: [r.id for r in search.front_merge(page, extra, most, "id").orderBy("position").collect()]
+    assert order(2) == ["c", "a", "b"] and order(9) == ["d", "c", "a", "b"]
+
+
+def test_expansion_stops_at_target_or_when_nothing_is_new(spark):
+    b = spark.createDataFrame([(1, 1), (2, 1), (2, 2), (3, 2), (9, 9)], "event_id int, entity_id int")
+    seeds = b.filter("event_id = 1").select("event_id")
+    reach = lambda target: sorted(r[0] for r in graph.expand_until(seeds, b, "event_id", "entity_id", target, 5).collect())
+    assert reach(0) == [] and reach(1) == [2] and reach(5) == [2, 3]
+
+
+def test_relation_intents_and_merged_metadata(spark):
+    rows = spark.createDataFrame([("需要什么证书",), ("hello",)], "q string").select(kinds.relation_intents(F.col("q")).alias("r")).collect()
+    assert [r.r for r in rows] == [["REQUIRES", "HOLDS"], []]
+    one = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3"}), (None, None)], "o map<string,string>, n map<string,string>")
+    assert [r.m for r in one.select(store.merge_metadata(F.col("o"), F.col("n")).alias("m")).collect()] == [{"a": "1", "b": "3"}, {}]

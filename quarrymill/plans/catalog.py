@@ -282,7 +282,7 @@ def nation_edges(spark, d) -> DataFrame:
     """Trade between nations as knowledge edges: who supplies whom, by what share of lines was returned."""
     lines = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     g = lines.groupBy(F.col("s_nationkey").alias("subject"), F.col("c_nationkey").alias("object")).agg(F.avg(1 - 4 * F.col("l_discount")).alias("confidence"), F.avg(F.col("l_quantity") / 50).alias("quality"), F.count("*").alias("n"))
-    return g.filter("subject < 8 and object < 8").select((F.col("subject") * 100 + F.col("object")).alias("edge_id"), "subject", "object", "confidence", "quality", F.when(F.col("n") % 2 == 0, 0.08).otherwise(-0.08).alias("strength"))
+    return g.select((F.col("subject") * 100 + F.col("object")).alias("edge_id"), "subject", "object", "confidence", "quality", F.when(F.col("n") % 2 == 0, 0.08).otherwise(-0.08).alias("strength"))
 
 
 EDGES = "e AS (SELECT s_nationkey * 100 + c_nationkey AS id, s_nationkey AS s, c_nationkey AS o, avg(1 - 4 * l_discount) AS c, avg(l_quantity / 50) AS q, CASE WHEN count(*) % 2 = 0 THEN 0.08 ELSE -0.08 END AS w FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey < 8 AND c_nationkey < 8 GROUP BY s_nationkey, c_nationkey)"
@@ -290,8 +290,22 @@ EDGES = "e AS (SELECT s_nationkey * 100 + c_nationkey AS id, s_nationkey AS s, c
 
 @query(f"WITH RECURSIVE {EDGES}, p(nodes, ids, c, q, w, n) AS (SELECT [s, o], [id], c, q, w, 1 FROM e WHERE (s = 1 OR o = 1) AND s <> o UNION ALL SELECT list_append(nodes, e.o), list_append(ids, e.id), p.c + e.c, p.q + e.q, p.w + e.w, n + 1 FROM p JOIN e ON p.nodes[-1] = e.s WHERE n < 3 AND e.w > 0 AND NOT list_contains(nodes, e.o)) SELECT array_to_string(ids, '>') AS path, CAST(n AS INTEGER) AS depth, round(greatest(0, least(1, 0.45 * c / n + 0.45 * q / n + w - 0.03 * (n - 1))), 6) AS score FROM p")
 def path_expansion_depth3(spark, d):
+    """Only the edges among nations 0 to 7, as its SQL has it; path_expansion_all_nations searches the whole graph."""
+    return nation_paths(spark, d, nation_edges(spark, d).filter("subject < 8 and object < 8"))
+
+
+ALL_EDGES = "e AS (SELECT s_nationkey * 100 + c_nationkey AS id, s_nationkey AS s, c_nationkey AS o, avg(1 - 4 * l_discount) AS c, avg(l_quantity / 50) AS q, CASE WHEN count(*) % 2 = 0 THEN 0.08 ELSE -0.08 END AS w FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY s_nationkey, c_nationkey)"
+
+
+@query(f"WITH RECURSIVE {ALL_EDGES}, p(nodes, ids, c, q, w, n) AS (SELECT [s, o], [id], c, q, w, 1 FROM e WHERE (s = 1 OR o = 1) AND s <> o UNION ALL SELECT list_append(nodes, e.o), list_append(ids, e.id), p.c + e.c, p.q + e.q, p.w + e.w, n + 1 FROM p JOIN e ON p.nodes[-1] = e.s WHERE n < 3 AND e.w > 0 AND NOT list_contains(nodes, e.o)) SELECT array_to_string(ids, '>') AS path, CAST(n AS INTEGER) AS depth, round(greatest(0, least(1, 0.45 * c / n + 0.45 * q / n + w - 0.03 * (n - 1))), 6) AS score FROM p")
+def path_expansion_all_nations(spark, d):
+    return nation_paths(spark, d, nation_edges(spark, d))
+
+
+def nation_paths(spark, d, edges: DataFrame) -> DataFrame:
+    """The paths of up to three edges from nation 1, scored."""
     seeds = table(spark, d, "nation").filter("n_nationkey = 1").select(F.col("n_nationkey").alias("node"))
-    found = graph.paths(graph.settle(nation_edges(spark, d)), seeds, 3)
+    found = graph.paths(graph.settle(edges), seeds, 3)
     return found.select(F.array_join(F.col("steps.edge_id"), ">").alias("path"), F.size("steps").alias("depth"), F.round("score", 6).alias("score"))
 
 

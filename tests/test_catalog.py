@@ -30,3 +30,14 @@ def test_query_equals_sql(spark, name):
     assert sorted(made.columns) == sorted(want.columns)
     number = lambda x: tuple(v[:-7] if v is not None and v.endswith(".000000") else v for v in x)
     assert list(map(number, rows(made))) == list(map(number, rows(want)))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_nation_paths_use_every_edge(spark):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    want = {r[0] for r in con.execute("SELECT DISTINCT s_nationkey * 100 + c_nationkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey").fetchall()}
+    assert max(want) >= 800 and {r.edge_id for r in catalog.nation_edges(spark, DATA).collect()} == want
+    met = {int(e) for r in catalog.QUERIES["path_expansion_all_nations"](spark, DATA).collect() for e in r.path.split(">")}
+    assert {e for e in want if 1 in divmod(e, 100) and e != 101} <= met

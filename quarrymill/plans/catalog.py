@@ -311,10 +311,22 @@ def nation_paths(spark, d, edges: DataFrame) -> DataFrame:
 
 @query("WITH e AS (SELECT p_partkey AS id, p_brand AS source, p_size AS s, lower(p_name) AS o, 0.5 + p_size / 100 AS c FROM part) SELECT r.id AS r_edge, m.id AS m_edge, round(greatest(0.5, 0.86 * least(r.c, m.c)), 6) AS confidence FROM e r JOIN e m ON r.source = m.source AND r.s % 5 = 0 AND m.s % 5 = 1 AND r.s <> m.s AND r.id <> m.id AND (r.o = m.o OR contains(r.o, m.o) OR contains(m.o, r.o))")
 def alignment_theta_join(spark, d):
-    edges = table(spark, d, "part").select(F.col("p_partkey").alias("edge_id"), F.col("p_brand").alias("source"), F.col("p_size").alias("subject"), F.col("p_name").alias("object"), (0.5 + F.col("p_size") / 100).alias("confidence"))
+    """Only parts whose size leaves 0 or 1 modulo 5, as its SQL has it; alignment_all_parts puts every part on a side."""
+    edges = part_edges(spark, d)
     return graph.align(edges.filter("subject % 5 = 0"), edges.filter("subject % 5 = 1")).select("r_edge", "m_edge", F.round("confidence", 6).alias("confidence"))
 
 
+def part_edges(spark, d) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("edge_id"), F.col("p_brand").alias("source"), F.col("p_size").alias("subject"), F.col("p_name").alias("object"), (0.5 + F.col("p_size") / 100).alias("confidence"), F.coalesce(F.col("p_type").isin("SMALL", "MEDIUM", "LARGE"), F.lit(False)).alias("required"))
+
+
+@query("WITH e AS (SELECT p_partkey AS id, p_brand AS source, p_size AS s, lower(p_name) AS o, 0.5 + p_size / 100 AS c, coalesce(p_type IN ('SMALL', 'MEDIUM', 'LARGE'), false) AS required FROM part) SELECT r.id AS r_edge, m.id AS m_edge, round(greatest(0.5, 0.86 * least(r.c, m.c)), 6) AS confidence FROM e r JOIN e m ON r.source = m.source AND r.required AND NOT m.required AND r.s <> m.s AND r.id <> m.id AND (r.o = m.o OR contains(r.o, m.o) OR contains(m.o, r.o))")
+def alignment_all_parts(spark, d):
+    """Parts of a size type are requirements, all others materials."""
+    edges = part_edges(spark, d)
+    return graph.align(edges.filter("required"), edges.filter("not required")).select("r_edge", "m_edge", F.round("confidence", 6).alias("confidence"))
+
+
 @query("SELECT l_suppkey AS subject, l_partkey AS object, l_returnflag AS relation, l_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey, l_returnflag ORDER BY l_discount, l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n = 1")
 def dedupe_keep_max(spark, d):
     best = store.latest(table(spark, d, "lineitem"), ["l_suppkey", "l_partkey", "l_returnflag"], ["l_discount", "l_orderkey", "l_linenumber"])

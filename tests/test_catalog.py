@@ -41,3 +41,14 @@ def test_nation_paths_use_every_edge(spark):
     assert max(want) >= 800 and {r.edge_id for r in catalog.nation_edges(spark, DATA).collect()} == want
     met = {int(e) for r in catalog.QUERIES["path_expansion_all_nations"](spark, DATA).collect() for e in r.path.split(">")}
     assert {e for e in want if 1 in divmod(e, 100) and e != 101} <= met
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_every_part_is_on_a_side_and_expansion_tries_again(spark):
+    edges = catalog.part_edges(spark, DATA)
+    assert edges.filter("required").count() + edges.filter("not required").count() == 200
+    ends = {k for r in catalog.QUERIES["alignment_all_parts"](spark, DATA).collect() for k in (r.r_edge, r.m_edge)}
+    old = edges.filter("subject % 5 > 1").collect()
+    assert ends & {r.edge_id for r in old}
+    one, more = ({r.event_id for r in catalog.QUERIES[q](spark, DATA).collect()} for q in ("one_hop_events", "dynamic_expansion_retries"))
+    assert one < more

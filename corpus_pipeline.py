@@ -9,19 +9,17 @@ from quarrymill.llm import common, decontaminate, jaccard, packing, pii, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    kept = quality.judge(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Rows that the quality rules reject go, each by its own text, whatever its doc_id."""
+    return quality.kept_rows(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays."""
-    first = jaccard.cluster(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    """Of each component one row stays: that with the smallest doc_id, null ids last; of rows with that id one."""
+    return jaccard.first_rows(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Rows that hold a benchmark item go, each by its own text, whatever its doc_id."""
     return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 

@@ -128,6 +128,20 @@ def alike(part: str, item: str, most: int) -> bool:
     return lost <= most
 
 
+def blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
+    """The items, normalised, in blocks of BLOCK_CHARS characters; one empty block if there are none."""
+    items = [(r[0], t) for r in benchmark.select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text").toLocalIterator() if r[1] and (t := normal(r[1]))]
+    out: list[list[tuple[int, str]]] = [[]]
+    size = 0
+    for item in dict.fromkeys(items):
+        if size + len(item[1]) > BLOCK_CHARS and out[-1]:
+            out.append([])
+            size = 0
+        out[-1].append(item)
+        size += len(item[1])
+    return out
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, distance, start and end (in normalised text) for each pair of a document and an item that it holds within the item's
     error budget, once a pair with the best place.
@@ -140,15 +154,6 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     common.ship(spark)
     common.small_batches(spark)
     texts = common.id_text(docs, id_col, text_col)
-    items = [(r[0], t) for r in benchmark.select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text").toLocalIterator() if r[1] and (t := normal(r[1]))]
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for item in dict.fromkeys(items):
-        if size + len(item[1]) > BLOCK_CHARS and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(item)
-        size += len(item[1])
 
     def search(block: list[tuple[int, str]]):
         def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,16 +166,34 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         return task
 
     out = None
-    for block in blocks:
+    for block in blocks(benchmark):
         found = texts.mapInArrow(search(block), MATCHES)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that hold a benchmark item; rows with a null id stay."""
-    held = find_items(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(held, id_col, "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs without the rows that hold a benchmark item.
+
+    Whole rows go through the search and no id is read: rows with a null id are searched as others are, and rows that share an id
+    stay or go each by its own text. A null text holds nothing.
+    """
+    spark = docs.sparkSession
+    common.ship(spark)
+    common.small_batches(spark)
+    at = docs.columns.index(text_col)
+
+    def search(block: list[tuple[int, str]]):
+        def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            look = Block(block)
+            for b in it:
+                yield b.filter(pa.array([not (t and look.matches(normal(t))) for t in b.column(at).to_pylist()], pa.bool_()))
+
+        return task
+
+    for block in blocks(benchmark):
+        docs = docs.mapInArrow(search(block), docs.schema)
+    return docs
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

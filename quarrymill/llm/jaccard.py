@@ -323,6 +323,21 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
 
 
+def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest id; a null id comes after all others, and of rows
+    that share an id one, whichever, stays.
+
+    Rows are numbered and written first, so that components are of rows, not of ids. A row with a null, empty or blank text is its
+    own component and stays.
+    """
+    rows = docs.toDF(*(cells := [f"cell{k}" for k in range(len(docs.columns))]))
+    id_, text = (cells[docs.columns.index(c)] for c in (id_col, text_col))
+    rows = common.cut(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = cluster(rows, "row", text).select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", F.col(id_).alias("id")), "row")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    return rows.join(first.select("first.row"), "row", "left_semi").select(cells).toDF(*docs.columns)
+
+
 def shared_entries(docs: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
     """key, node, own of the index entries that different sets share, one of them under its own band."""
     entries = docs.mapInArrow(task_entries(bands), "key long, node long")

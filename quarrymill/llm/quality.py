@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 
@@ -58,6 +59,13 @@ def counts(text: np.ndarray) -> list[int]:
     return [n, int(size.sum()), int(SYMBOL[text].sum()), dup, repeat, len(lines), int((size > 30).sum()), int(LETTER[text].sum() - FOLLOWS[text].sum()), int(LINE_END[text[last]].sum()), len(np.unique(h)), bare]
 
 
+def figures(texts: pa.Array) -> list[pa.Array]:
+    """The columns of COUNTS for a column of texts without nulls."""
+    data, at = common.utf8(texts)
+    rows = np.array([counts(data[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], np.int64).reshape(-1, len(COUNTS))
+    return [pa.array(rows[:, k]) for k in range(len(COUNTS))]
+
+
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the figures of COUNTS for the whole text of every row; a null text counts as empty, all its figures are 0."""
     spark = docs.sparkSession
@@ -66,9 +74,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            data, at = common.utf8(b.column(1))
-            rows = np.array([counts(data[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[:, k]) for k in range(len(COUNTS)))], ["doc_id", *COUNTS])
+            yield pa.RecordBatch.from_arrays([b.column(0), *figures(b.column(1))], ["doc_id", *COUNTS])
 
     return common.id_text(docs, id_col, text_col).mapInArrow(task, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
@@ -143,10 +149,35 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     small table. kept is false where base_failed, else posterior >= keep. An empty or null text fails; an empty table gives an
     empty result; repeated rows are judged alike; other columns aren't read.
     """
-    spark = docs.sparkSession
+    got = verdicts(features(docs, id_col, text_col), keep)
+    return got.select("doc_id", *COUNTS, "base_failed", "posterior", "kept")
+
+
+def kept_rows(docs: DataFrame, text_col: str = "text", keep: float = KEEP) -> DataFrame:
+    """The rows of docs that judge keeps, with all their columns.
+
+    A row carries its own verdict and no id is read: rows with a null id are judged as others are, and of rows that share an id each
+    stays or goes by its own text.
+    """
+    common.ship(docs.sparkSession)
+    common.small_batches(docs.sparkSession)
+    rows = docs.toDF(*(cells := [f"cell{k}" for k in range(len(docs.columns))]))
+    at = docs.columns.index(text_col)
+
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield pa.RecordBatch.from_arrays([*b.columns, *figures(b.column(at).cast(pa.string()).fill_null(""))], [*cells, *COUNTS])
+
+    schema = StructType([*rows.schema.fields, *(StructField(c, LongType()) for c in COUNTS)])
+    return verdicts(rows.mapInArrow(task, schema), keep).filter("kept").select(cells).toDF(*docs.columns)
+
+
+def verdicts(rows: DataFrame, keep: float) -> DataFrame:
+    """rows, which have the figures of COUNTS, with base_failed, posterior and kept."""
+    spark = rows.sparkSession
     rules = votes()
     code = sum(((v + 1) * 3**k for k, v in enumerate(rules.values())), F.lit(0)).cast("int")
-    seen = common.cut(features(docs, id_col, text_col).withColumn("pattern", code), "quality")
+    seen = common.cut(rows.withColumn("pattern", code), "quality")
     found = seen.groupBy("pattern").count().collect()
     table = {}
     if found:
@@ -156,7 +187,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
         p, good = fit(patterns, weight)
         table = dict(zip(codes.tolist(), posterior(patterns, p, good).round(9).tolist(), strict=True))
     scores = spark.createDataFrame([(k, v) for k, v in table.items()], "pattern int, posterior double")
-    return seen.join(F.broadcast(scores), "pattern").select("doc_id", *COUNTS, base_failed().alias("base_failed"), "posterior", (~base_failed() & (F.col("posterior") >= keep)).alias("kept"))
+    return seen.join(F.broadcast(scores), "pattern").withColumns({"base_failed": base_failed(), "kept": ~base_failed() & (F.col("posterior") >= keep)})
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

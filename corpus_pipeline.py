@@ -40,7 +40,7 @@ STAGES = [
     ("pii", personal_data),
     ("best-fit packing", best_fit_packing),
 ]
-#: The stages' models and tokenizer have no SQL form; tests hold each stage against a brute-force version.
+#: The stages' models and tokenizer have no SQL form; tests/llm/test_pipeline.py holds stages and run() against rows told by hand.
 ORACLE_SQL = None
 
 

@@ -20,6 +20,9 @@ ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") | DIGI
 LOCAL, DOMAIN = ALNUM | frozenset("._%+-"), ALNUM | frozenset("-")
 PHONE_RUN, ACCOUNT_RUN = DIGITS | frozenset(" ().-"), ALNUM | frozenset(" -")
 SCHEME, URL_END = ALNUM | frozenset("+.-"), frozenset(" \t\n\r\x0b\x0c\"'<>`{}|\\^")
+#: Most letters and digits of an account number; lengths of IBANs by country.
+LONGEST = 34
+IBAN_SIZES = {x[:2]: int(x[2:]) for x in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SD18 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20".split()}
 SPANS = "doc_id long, spans array<struct<kind:string,start:int,end:int>>"
 
 
@@ -102,24 +105,49 @@ def phone_at(t: str, at: int) -> tuple[int, int] | None:
     return (at, end) if end >= at + 4 and 10 <= sum(c in DIGITS for c in t[at:end]) <= 15 else None
 
 
+def iban_end(t: str, at: int) -> int | None:
+    """Where the IBAN that starts at at ends: its country's length, single blanks or hyphens between, remainder 1 modulo 97."""
+    size, code, end = IBAN_SIZES.get(t[at : at + 2].upper(), 0), "", at
+    while len(code) < size and end < len(t):
+        if t[end] in ALNUM:
+            code += t[end].upper()
+        elif t[end] not in " -" or t[end - 1] in " -":
+            return None
+        end += 1
+    if not size or len(code) < size or (end < len(t) and t[end] in ALNUM):
+        return None
+    return end if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1 else None
+
+
 def account_after(t: str, at: int) -> tuple[int, int] | None:
-    """The number behind a cue that ends at at: up to 12 separators, then 6 to 34 letters and digits, 5 digits at least."""
+    """The number behind a cue that ends at at: up to 12 separators, then an IBAN, or 6 to 34 letters and digits, 5 digits at least.
+
+    A number other than an IBAN ends before a token without a digit and before one that would make it longer than that; separators
+    in it don't count.
+    """
     if at < len(t) and t[at] in ALNUM:
         return None
     start = at
     while start < min(len(t), at + 12) and t[start] not in ALNUM:
         start += 1
-    end = start
-    for token in t[start : start + 48].split(" "):
-        if not any(c in DIGITS for c in token) and not (end == start and token.lower().strip(":#.") in ("no", "nr", "number", "num")):
+    end = here = start
+    size = digits = 0
+    while True:
+        if not digits and (whole := iban_end(t, here)):
+            return start, whole
+        stop, more, more_digits = here, 0, 0
+        while stop < len(t) and t[stop] in DOMAIN and size + more <= LONGEST:
+            more, more_digits, stop = more + (t[stop] in ALNUM), more_digits + (t[stop] in DIGITS), stop + 1
+        token = t[here : here + 48].split(" ", 1)[0]
+        if not more_digits and not any(c in DIGITS for c in token) and not (end == start and token.lower().strip(":#.") in ("no", "nr", "number", "num")):
+            break
+        if size + more > LONGEST:
             break
-        k = run_end(token, 0, DOMAIN)
-        end = end + (end > start) + k
-        if k < len(token):
+        end, size, digits = stop, size + more, digits + more_digits
+        if stop == len(t) or t[stop] != " ":
             break
-    body = t[start:end]
-    digits = sum(c in DIGITS for c in body)
-    return (start, end) if digits >= 5 and 6 <= sum(c in ALNUM for c in body) <= 34 else None
+        here = stop + 1
+    return (start, end) if digits >= 5 and size >= 6 else None
 
 
 def url_at(t: str, at: int) -> tuple[int, int] | None:

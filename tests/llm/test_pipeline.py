@@ -83,3 +83,13 @@ def test_pii_query_columns(spark, tmp_path):
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
     got = sorted(tuple(r) for r in pii.op1_pii(spark, str(tmp_path)).collect())
     assert got == [(k, int(k == 1), 0, 0, 0, digest(x), x) for k, x in ((1, "email:3:11"), (2, ""), (3, ""))]
+
+
+def test_account_numbers_are_redacted_whole(spark):
+    texts = {"iban NL91 ABNA 0417 1643 00 now": "iban [ACCOUNT] now", "IBAN: GB29 NWBK 6016 1331 9268 19, then": "IBAN: [ACCOUNT], then", "iban NL92 ABNA x": "iban NL92 ABNA x"}
+    long = "-".join("123456789012345678901234567890")
+    texts |= {f"iban {long}.": "iban [ACCOUNT].", "iban DE44 5001 0517 5407 now": "iban [ACCOUNT] now"}
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    from quarrymill.llm import pii
+
+    assert [r.text for r in pii.redact(docs).orderBy("doc_id").collect()] == list(texts.values())

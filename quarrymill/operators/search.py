@@ -25,16 +25,16 @@ def query_vector(rows: DataFrame, id_col: str, id_value: int, vector_col: str =
 
 
 def multi_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str, vector_col: str = "embedding", block: int = 64) -> DataFrame:
-    """The k nearest rows of each query. The queries, a bounded set, go out in blocks; within a task and a query only k rows are kept
-    before the shuffle, which holds k rows a task, query and block."""
-    found = []
-    asked = queries.select(query_col, F.col(vector_col).alias("_q")).orderBy(query_col).collect()
-    for at in range(0, len(asked), block):
-        part = F.array(*(F.struct(F.lit(r[0]).alias("q"), F.array(*(F.lit(float(x)) for x in r[1])).alias("v")) for r in asked[at : at + block]))
-        pairs = rows.select(id_col, vector_col, F.explode(part).alias("_q")).select(F.col("_q.q").alias(query_col), id_col, vector.cosine(F.col(vector_col), F.col("_q.v")).alias("score"))
-        found.append(pairs)
+    """The k nearest rows of each query; ties by id. The queries are a table of blocks, about so many a block, and every row meets every
+    block, so that any number of queries is one scan and none reaches the driver; only the number of blocks does. Within a task and a
+    query only k rows are kept before the shuffle."""
+    asked = queries.select(F.col(query_col).alias("q"), F.col(vector_col).alias("v"))
+    blocks = max(1, -(-asked.count() // block))
+    asked = asked.groupBy(F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("at")).agg(F.collect_list(F.struct("q", "v")).alias("_block")).select("_block")
+    pairs = rows.select(id_col, vector_col).crossJoin(asked).select(id_col, vector_col, F.explode("_block").alias("_q"))
+    pairs = pairs.select(F.col("_q.q").alias(query_col), id_col, vector.cosine(F.col(vector_col), F.col("_q.v")).alias("score"))
     best = Window.partitionBy(query_col).orderBy(F.desc("score"), id_col)
-    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def entity_scores(rows: DataFrame, query: str, name_col: str, extra_col: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators on small fixtures."""
 
+import random
+
 from quarrymill.operators import chunking, graph, search, store
 from quarrymill.functions import fulltext, kinds, text
 from pyspark.sql import functions as F
@@ -62,3 +64,15 @@ def test_relation_intents_and_merged_metadata(spark):
     assert [r.r for r in rows] == [["REQUIRES", "HOLDS"], []]
     one = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3"}), (None, None)], "o map<string,string>, n map<string,string>")
     assert [r.m for r in one.select(store.merge_metadata(F.col("o"), F.col("n")).alias("m")).collect()] == [{"a": "1", "b": "3"}, {}]
+
+
+def test_many_queries_are_one_scan(spark):
+    r = random.Random(4)
+    rows = [(k, [r.gauss(0, 1) for _ in range(4)]) for k in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = search.multi_topk(df, df.withColumnRenamed("vec_id", "q"), 3, "vec_id", "q", block=8)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and len(plan) < 5000
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    want = {(q, i, n) for q, a in rows for n, (i, _) in enumerate(sorted(rows, key=lambda x: -cosine(a, x[1]))[:3], 1)}
+    assert {(x.q, x.vec_id, x["rank"]) for x in got.collect()} == want

@@ -34,13 +34,47 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends in files that outlive any executor."""
+    """Write df to the shared folder and read it again: lineage ends in files that outlive any executor.
+
+    The plan that was written isn't run again, so Spark may delete its shuffle files at the end of the write.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    write_once(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_once(df: DataFrame, path: str) -> None:
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
+
+
+class Cuts:
+    """Tables cut to the shared folder, which can be dropped when no later result reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        write_once(df, path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            remove(self.spark, self.paths.pop(id(t))[1])
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that cut() or fresh_path() made and no later result reads."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -74,9 +108,10 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, so that a batch of long texts fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, so that a batch of long texts fits a Python worker. All operators want the same."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +171,38 @@ def words(text: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.nda
     return start, end, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def words_of(data: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of many texts, one behind the other, and the offset of each text's first word (one more than texts).
+
+    data: the texts' bytes; at: each text's first byte, as utf8() has them. Hashes are those of words().
+    """
+    data, at = data[at[0] : at[-1]], at - at[0]
+    if lower:
+        data = TO_LOWER[data]
+    gap = SPACE[data]
+    first, last = ~gap, ~gap
+    first[1:] &= gap[:-1]
+    last[:-1] &= gap[1:]
+    edge = at[:-1][at[:-1] < at[1:]]  # where texts that aren't empty begin; a word never goes on there
+    first[edge] = ~gap[edge]
+    edge = at[1:][at[:-1] < at[1:]] - 1
+    last[edge] = ~gap[edge]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), np.searchsorted(start, at)
+
+
+def spans(at: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts (from, to) of about so many bytes at most, or one text that is longer: arrays that stay in the cache."""
+    a = 0
+    while a < len(at) - 1:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + most, side="right")) - 1)
+        yield a, b
+        a = b
+
+
 def windows(h: np.ndarray, size: int) -> np.ndarray:
     """A hash of every run of so many consecutive words."""
     n = len(h) - size + 1

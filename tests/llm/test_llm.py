@@ -48,19 +48,68 @@ def test_jaccard_components_equal_brute_force(spark, docs):
     assert jaccard.cluster(docs.limit(0)).count() == 0
 
 
+def one_set(tokens):
+    return jaccard.Sets(tokens, np.array([0, len(tokens)]))
+
+
 def test_jaccard_index_finds_every_similar_pair():
     r = np.random.default_rng(5)
     bands = jaccard.Bands()
-    for _ in range(300):
-        n = int(r.integers(4, 400))
-        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+    for turn in range(600):
+        n = int(r.integers(4, 400 if turn % 3 else 30))
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        if turn % 5 == 0:  # so uneven that few segments are filled: neighbourhoods
+            a = np.unique(a >> np.uint64(6) | np.uint64(turn) << np.uint64(50))
         lost = int(r.integers(0, max(1, len(a) // 9) + 1))
         b = np.unique(np.concatenate((a[lost:], r.integers(0, 2**63, int(r.integers(0, lost + 1))).astype(np.uint64))))
         both = len(np.intersect1d(a, b))
-        if not len(b) or bands.short(a) or bands.short(b) or 100 * both < 80 * (len(a) + len(b) - both) or np.array_equal(a, b):
+        if not len(b) or 100 * both < 80 * (len(a) + len(b) - both) or np.array_equal(a, b):
             continue
-        (ka, oa), (kb, ob) = bands.entries(a), bands.entries(b)
-        assert (set(ka[oa]) & set(kb)) | (set(ka) & set(kb[ob]))
+        assert set(bands.entries(one_set(a))[0]) & set(bands.entries(one_set(b))[0])
+        maps = [one_set(x).sketches()[0] for x in (a, b)]
+        assert len(jaccard.near_pairs(np.array([len(a), len(b)]), maps, None, np.zeros(2), 80, 100)[0]) == 1
+
+
+def test_jaccard_sets_equal_plain_shingles(docs):
+    texts = [r.text or "" for r in docs.collect()]
+    data, at = jaccard.common.utf8(pa.array(texts))
+    whole = jaccard.Sets.of(data, at)
+    assert whole.n.tolist() == [len(shingles(t)) for t in texts]
+    alone = [jaccard.Sets.of(*jaccard.common.utf8(pa.array([t]))).tokens for t in texts]
+    assert all(np.array_equal(whole[k], t) for k, t in enumerate(alone))
+    keys, whose = jaccard.Bands().entries(whole)
+    for k, t in enumerate(alone):
+        assert sorted(keys[whose == k].tolist()) == sorted(jaccard.Bands().entries(one_set(t))[0].tolist())
+
+
+@pytest.mark.parametrize("block, hot, star", [(8, 4, 3), (2048, 256, 256)])
+def test_jaccard_large_groups_in_pieces(spark, monkeypatch, block, hot, star):
+    """A group of near copies, some beyond the threshold, over several blocks, with hot keys, equals brute force."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "HOT_LEAST", hot)
+    monkeypatch.setattr(jaccard, "STAR", star)
+    r = random.Random(11)
+    base, rows = [[r.choice(WORDS) + str(r.randrange(40)) for _ in range(90)] for _ in range(3)], []
+    for k in range(150):
+        t = list(base[k % 3])
+        for _ in range(r.choice((0, 1, 1, 2, 3, 4))):
+            t[r.randrange(len(t))] = f"x{k}"
+        rows.append((k + 1, " ".join(t)))
+    sets, root = {k: shingles(t) for k, t in rows}, {k: k for k, _ in rows}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, _ in rows:
+        for b, _ in rows:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    got = collect(jaccard.cluster(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    assert sorted(got) == [(k, len(sets[k]), top(k)) for k, _ in rows]
+    assert len({top(k) for k, _ in rows}) > 3
 
 
 def test_pii_base_equals_patterns():

@@ -5,10 +5,10 @@ indexed in its own band and, for smaller partners, in those below that can hold
 segments than d. Two similar sets therefore agree in a segment (pigeonhole), and what a set is indexed by is allocated at the least cost
 in entries that loses no pair:
 
-- a set that fills more than d segments: the hashes of its first d + 1 filled segments. Of the segments in which two such sets agree
-  take the first: fewer than d + 1 filled ones precede it in either set, so both have its entry;
-- a set that fills fewer has all of them as entries, and besides half as many, longer segments with their one-deletion neighbourhoods,
-  in which two such sets agree as some segment of theirs differs by one token at most.
+- a set that fills more than d segments: a hash of each filled one. All but d of them agree with those of any similar set, so that a
+  set that shares fewer keys with others has no similar one;
+- a set that fills fewer has these, and besides half as many, longer segments with their one-deletion neighbourhoods, in which two such
+  sets agree as some segment of theirs differs by one token at most.
 
 Entries meet by key. Sets that share a key form a bundle, named by the least of them, so that the keys of near copies, which are many,
 make few bundles. Members of a bundle are compared in blocks by parity bitmaps, which bound the number of differing tokens from below;
@@ -134,9 +134,10 @@ class Bands:
     def largest(self, n: np.ndarray) -> np.ndarray:
         return n * self.den // self.num
 
-    def entries(self, sets: Sets) -> tuple[np.ndarray, np.ndarray]:
-        """The keys of all entries, and whose they are, in order."""
+    def entries(self, sets: Sets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The keys of all entries, whose they are, in order, and how many keys each set shares at least if it has a similar one."""
         keys, whose = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        need = np.full(len(sets.n), np.iinfo(np.int64).max)
         marks = common.mix(sets.tokens + SALT)
         own, n = self.band(sets.n), sets.n
         tops = np.array(self.tops)
@@ -149,15 +150,15 @@ class Bands:
                 break
             d = self.differ(n, self.largest(n)) if not down else self.differ(n, np.minimum(n, tops[np.maximum(band, 0)]))
             use = use[d[use] > 0]  # else similar sets are equal
-            for k, w in self.allocated(sets, marks, use, band[use], d[use]):
+            for k, w in self.allocated(sets, marks, use, band[use], d[use], need):
                 keys.append(k)
                 whose.append(w)
             down += 1
         whose = np.concatenate(whose)
         order = np.argsort(whose, kind="stable")
-        return np.concatenate(keys)[order], whose[order]
+        return np.concatenate(keys)[order], whose[order], need
 
-    def allocated(self, sets: Sets, marks: np.ndarray, use: np.ndarray, band: np.ndarray, d: np.ndarray):
+    def allocated(self, sets: Sets, marks: np.ndarray, use: np.ndarray, band: np.ndarray, d: np.ndarray, need: np.ndarray):
         """Entries of some sets in one band each, where each may differ from a partner in d tokens."""
         if not len(use):
             return
@@ -173,10 +174,8 @@ class Bands:
         at = np.flatnonzero(new)
         of = owner[at]
         filled = np.bincount(of, minlength=len(use))
-        rank = np.arange(len(at)) - np.repeat(np.concatenate(([0], np.cumsum(filled)[:-1])), filled)
-        keys = common.mix(np.add.reduceat(mark, at) + (segment[at] + ONE) * common.GOLDEN + salt[of])
-        keep = rank <= d[of]
-        yield keys[keep], use[of[keep]]
+        yield common.mix(np.add.reduceat(mark, at) + (segment[at] + ONE) * common.GOLDEN + salt[of]), use[of]
+        need[use] = np.minimum(need[use], np.maximum(filled - d, 1))
         few = np.flatnonzero(filled <= d)
         if len(few):
             yield from self.neighbourhoods(part.take(few), Sets(mark, part.at).take(few).tokens, use[few], most[few], salt[few])
@@ -197,7 +196,7 @@ class Bands:
         yield common.mix(total[at] - mark + name[at]), np.repeat(whose, part.n)
 
 
-SETS = "doc_id long, row long, n long, h long, p long, sketch binary, keys binary, often binary"
+SETS = "doc_id long, row long, n long, h long, p long, need long, sketch binary, keys binary, often binary"
 
 
 def task_sets(bands: Bands):
@@ -215,7 +214,7 @@ def task_sets(bands: Bands):
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # sets that this task has met; copies add nothing
-        row, schema = TaskContext.get().partitionId() << 40, pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("p", pa.int64()), ("sketch", pa.binary()), ("keys", pa.binary()), ("often", pa.binary())])
+        row, schema = TaskContext.get().partitionId() << 40, pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("p", pa.int64()), ("need", pa.int64()), ("sketch", pa.binary()), ("keys", pa.binary()), ("often", pa.binary())])
         keys, whose, held, counted = [], [], 0, 0
 
         def rare() -> pa.RecordBatch:
@@ -235,16 +234,16 @@ def task_sets(bands: Bands):
                         fresh.append(k)
                 fresh = np.array(fresh, np.int64)
                 new = sets.take(fresh)
-                own, of = bands.entries(new)
+                own, of, least = bands.entries(new)
                 keys.append(own)
                 whose.append(h[fresh][of])
                 held, counted = held + len(own), counted + len(fresh)
                 cuts, raw = (np.searchsorted(of, np.arange(len(fresh) + 1)) * 8).tolist(), own.tobytes()
-                sketch, entries = [None] * len(sets.n), [None] * len(sets.n)
-                for k, s, i, j in zip(fresh.tolist(), new.sketches(), cuts[:-1], cuts[1:], strict=True):
-                    sketch[k], entries[k] = s, raw[i:j]
+                sketch, entries, need = ([None] * len(sets.n) for _ in range(3))
+                for k, s, m, i, j in zip(fresh.tolist(), new.sketches(), least.tolist(), cuts[:-1], cuts[1:], strict=True):
+                    sketch[k], need[k], entries[k] = s, m, raw[i:j]
                 empty = pa.array(sets.n == 0)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(np.arange(row, row + y - x)), pa.array(sets.n), *(pc.if_else(empty, pa.scalar(None, pa.int64()), pa.array(v)) for v in (h, p)), pa.array(sketch, pa.binary()), pa.array(entries, pa.binary()), pa.nulls(y - x, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(np.arange(row, row + y - x)), pa.array(sets.n), *(pc.if_else(empty, pa.scalar(None, pa.int64()), pa.array(v)) for v in (h, p)), pa.array(need, pa.int64()), pa.array(sketch, pa.binary()), pa.array(entries, pa.binary()), pa.nulls(y - x, pa.binary())], schema=schema)
                 row += y - x
                 if held > COUNTED:
                     yield rare()
@@ -262,7 +261,7 @@ def task_common(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def task_entries(hot: np.ndarray, names: np.ndarray):
-    """key and set of each entry; of hot keys the bundle's name instead, once a batch."""
+    """key and set of each entry; of hot keys the bundle's name instead."""
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -274,16 +273,14 @@ def task_entries(hot: np.ndarray, names: np.ndarray):
             if len(hot):
                 place = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
                 is_hot = hot[place] == keys
-                rows = np.unique(np.stack((names[place[is_hot]], h[is_hot]), 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy()), pa.array(np.ones(len(rows), bool))], ["key", "h", "hot"])
-            keys, h = keys[~is_hot], h[~is_hot]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(h), pa.array(np.zeros(len(keys), bool))], ["key", "h", "hot"])
+                keys = np.where(is_hot, names[place], keys)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(h), pa.array(is_hot)], ["key", "h", "hot"])
 
     return task
 
 
 def task_bundles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """bundle (the least set with the key) and h of the keys that several sets share, from rows sorted by key; hot rows as they are."""
+    """bundle (the least set with the key), h and number of the keys that several sets share, from rows sorted by key; hot rows as they are."""
 
     def shared(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -291,6 +288,10 @@ def task_bundles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = low != np.maximum.reduceat(h, at)
         return np.stack((np.repeat(low[on], size[on]), h[np.repeat(on, size)]), 1)
 
+    def answer(found: list[np.ndarray]) -> pa.RecordBatch:
+        rows, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy()), pa.array(times)], ["bundle", "h", "keys"])
+
     held = [np.zeros(0, np.int64)] * 2
     for b in it:
         key, h, hot = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
@@ -300,11 +301,9 @@ def task_bundles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if last:
             found.append(shared(key[:last], h[:last]))
         held = [key[last:], h[last:]]
-        rows = np.unique(np.concatenate(found), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[:, k].copy()) for k in (0, 1)], ["bundle", "h"])
+        yield answer(found)
     if len(held[0]):
-        rows = np.unique(shared(*held), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[:, k].copy()) for k in (0, 1)], ["bundle", "h"])
+        yield answer([shared(*held)])
 
 
 def near_pairs(n: np.ndarray, sketch: list[bytes], comp: np.ndarray | None, part: np.ndarray, num: int, den: int):
@@ -540,19 +539,19 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num
     docs = common.id_text(docs, id_col, text_col)
     made = common.cut(docs.mapInArrow(task_sets(Bands(*ratio)), SETS), "sets")
     sets = made.filter("n is not null")
-    classes = sets.filter("h is not null").groupBy("h", "p").agg(F.min("doc_id").alias("first"), F.min(F.when(F.col("keys").isNotNull(), F.col("row"))).alias("row"))
+    classes = sets.filter("h is not null").groupBy("h", "p").agg(F.min("doc_id").alias("first"), F.min("need").alias("need"), F.min(F.when(F.col("keys").isNotNull(), F.col("row"))).alias("row"))
     # two sets with one h, of 64 bits, are told apart by p
     twin = F.row_number().over(Window.partitionBy("h").orderBy("p"))
-    classes = common.cut(classes.withColumn("twin", twin).select("h", "p", "first", "row", F.when(F.col("twin") == 1, F.col("h")).otherwise(F.xxhash64("h", "twin")).alias("node")), "classes")
+    classes = common.cut(classes.withColumn("twin", twin).select("h", "p", "first", "row", "need", F.when(F.col("twin") == 1, F.col("h")).otherwise(F.xxhash64("h", "twin")).alias("node")), "classes")
 
     count = classes.count()
     hot = made.filter("often is not null").select("often").mapInArrow(task_common, "key long, n long, h long").groupBy("key").agg(F.sum("n").alias("n"), F.min("h").alias("h"))
     hot = hot.filter(F.col("n") >= max(HOT_LEAST, count / HOT)).orderBy("key").toArrow()  # HOT times a set's mean entries at most
     entries = sets.filter("keys is not null").select("h", "keys").mapInArrow(task_entries(hot.column("key").to_numpy(), hot.column("h").to_numpy()), "key long, h long, hot boolean")
     entries = entries.repartition(F.when(F.col("hot"), F.xxhash64("h")).otherwise(F.col("key"))).sortWithinPartitions("key")
-    shared = cuts(entries.mapInArrow(task_bundles, "bundle long, h long").distinct(), "shared")
+    shared = cuts(entries.mapInArrow(task_bundles, "bundle long, h long, keys long").groupBy("bundle", "h").agg(F.sum("keys").alias("keys")), "shared")
 
-    asked = shared.select("h").distinct().join(classes, "h")
+    asked = shared.groupBy("h").agg(F.sum("keys").alias("keys")).join(classes, "h").filter("keys >= need").drop("keys")
     profile = cuts(asked.join(sets.select("row", "n", "sketch"), "row").select("h", "p", F.col("first").alias("doc_id"), "node", "n", "sketch"), "profile")
     bundles = cuts(shared.join(profile.select("h", "node"), "h").select("bundle", "node"), "bundles")
     cuts.drop(shared)

@@ -1,7 +1,7 @@
 """Token ids in length-delimited binary record files with masked checksums, and a separate offset index for shuffled reads.
 
 A record: payload length (4 bytes), its masked checksum (4), payload, the payload's masked checksum (4), all little-endian. A payload:
-doc_id (8, signed), id width with 128 added if compressed (1), ids. Files hold records in ascending doc_id order, and so do files by
+doc_id (8, signed), id width with 128 added if compressed and 64 if the doc_id is null (1), ids. Files hold records in ascending doc_id order, and so do files by
 their number. The index is a Parquet table with each record's file, place and count of ids; Spark's commit of it names the files that
 count, so files of tasks that ran twice or failed are never read.
 """
@@ -42,16 +42,17 @@ def press():
     return zstandard.ZstdCompressor(level=1, write_content_size=True)
 
 
-def frame(doc_id: int, ids: np.ndarray) -> bytes:
+def frame(doc_id: int | None, ids: np.ndarray) -> bytes:
     width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
     raw = ids.astype(f"<u{width}").tobytes()
     small = press().compress(raw)
-    body = struct.pack("<qB", doc_id, width | 128) + small if len(small) < len(raw) else struct.pack("<qB", doc_id, width) + raw
+    kind = width | (128 if len(small) < len(raw) else 0) | (64 if doc_id is None else 0)
+    body = struct.pack("<qB", doc_id or 0, kind) + min(small, raw, key=len)
     size = struct.pack("<I", len(body))
     return size + struct.pack("<I", masked(size)) + body + struct.pack("<I", masked(body))
 
 
-def unframe(record: bytes) -> tuple[int, np.ndarray]:
+def unframe(record: bytes) -> tuple[int | None, np.ndarray]:
     """doc_id and ids of one record; raises ValueError where a length or checksum is wrong."""
     import zstandard
 
@@ -61,9 +62,9 @@ def unframe(record: bytes) -> tuple[int, np.ndarray]:
     body = record[8:-4]
     if masked(body) != struct.unpack("<I", record[-4:])[0]:
         raise ValueError("record payload is damaged")
-    doc_id, width = struct.unpack_from("<qB", body)
-    raw = body[9:]
-    return doc_id, np.frombuffer(zstandard.ZstdDecompressor().decompress(raw) if width & 128 else raw, f"<u{width & 127}")
+    doc_id, kind = struct.unpack_from("<qB", body)
+    raw = zstandard.ZstdDecompressor().decompress(body[9:]) if kind & 128 else body[9:]
+    return None if kind & 64 else doc_id, np.frombuffer(raw, f"<u{kind & 63}")
 
 
 def store(path: str):
@@ -76,7 +77,8 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     """Encode docs, write record files and the index under path, and return the index.
 
     Documents are range-partitioned by doc_id, one file a partition. A null text counts as empty: the end id alone; rows with the
-    same doc_id each get a record; null ids aren't allowed. path: where Spark and pyarrow's file systems both write.
+    same doc_id each get a record, in the order of their texts; null ids stand before all others. An empty table gives no files and
+    an empty index. path: where Spark and pyarrow's file systems both write.
     """
     spark = docs.sparkSession
     common.ship(spark)
@@ -106,8 +108,8 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             if out is not None:
                 out.close()
 
-    dealt = common.id_text(docs, id_col, text_col).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
-    dealt.mapInArrow(task, INDEX).write.parquet(f"{path}/index")
+    dealt = common.id_text(docs, id_col, text_col).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    common.write_once(dealt.mapInArrow(task, INDEX), f"{path}/index")
     return spark.read.schema(INDEX).parquet(f"{path}/index")
 
 

@@ -92,7 +92,9 @@ class Encoder:
             self.forget()
         data, at = common.utf8(texts)
         data, at = data[at[0] : at[-1]], at - at[0]
-        edges = np.unique(np.concatenate((np.flatnonzero(unit_starts(data)), at)))
+        starts = unit_starts(data)
+        starts[at[at < len(data)]] = True
+        edges = np.append(np.flatnonzero(starts), len(data))
         coded = pa.Array.from_buffers(pa.large_string(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
         units = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
         sizes = self.size[units]

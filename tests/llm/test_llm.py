@@ -194,9 +194,39 @@ def test_tokens_records_and_packing(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_records_define_null_ids_ties_and_empty_tables(spark, tmp_path):
+    rows = [(None, "b c"), (5, "z y"), (5, "a"), (None, None), (-3, "b"), (5, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    records.write(docs, f"file://{tmp_path}/r", files=2)
+    got = collect(records.digests(records.read(spark, f"file://{tmp_path}/r")).orderBy("start"), "doc_id", "start", "n_tokens")
+    from tokenizers import Tokenizer
+
+    size = lambda t: len(Tokenizer.from_file(tokens.default_path(records.FILE)).encode(t, add_special_tokens=False).ids) + 1
+    want, at = [], 0
+    for i, t in [(None, ""), (None, "b c"), (-3, "b"), (5, "a"), (5, "a"), (5, "z y")]:
+        want.append((i, at, size(t)))
+        at += size(t)
+    assert got == want
+    records.write(docs.limit(0), f"file://{tmp_path}/none")
+    assert records.read(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_packing_pieces_equal_the_library(spark, docs):
+    from tokenizers import Tokenizer
+
+    word = Tokenizer.from_file(tokens.default_path(packing.FILE))
+    word.encode_special_tokens = True
+    want = []
+    for r in docs.collect():
+        ids = np.array([*word.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        want += [(r.doc_id, k, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())) for k, at in enumerate(range(0, len(ids), 2048))]
+    assert sorted(collect(packing.pack(docs), "doc_id", "piece", "start", "length", "ids_crc32")) == sorted(want)
+
+
 def test_damaged_records_are_noticed():
     good = records.frame(7, np.arange(50, dtype=np.uint32))
     assert records.unframe(good)[0] == 7
+    assert records.unframe(records.frame(None, np.arange(3)))[0] is None
     for bad in (good[:-1], good[:12] + b"\xff" + good[13:], struct.pack("<I", 9) + good[4:]):
         with pytest.raises(ValueError):
             records.unframe(bad)

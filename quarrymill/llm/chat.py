@@ -2,57 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Turns of one part of a dialogue; rows that share a part's turns before it is split further.
-TURNS, MOST_ROWS = 64, 4096
+#: Turns of one part of a rendered dialogue.
+TURNS = 64
 SYSTEM, END = "system", "<|end|>\n"
 
 
-def rotate(turns: DataFrame, turns_a_part: int = TURNS, most_rows: int = MOST_ROWS) -> DataFrame:
-    """conv_id, speaker, part, split, n_turns, text and mask for each participant of each conversation.
+def placed(turns: DataFrame) -> DataFrame:
+    """conv_id, role, said and place: turns numbered from 0 within their conversation, by turn, role and text.
 
-    The dialogue is rendered with the speaker's turns as assistant, other participants' as named user turns, and system turns, which
-    aren't a participant's, as system; mask lists start:end (code points, end exclusive) of what the speaker says, end mark included.
-    A dialogue comes in parts of turns_a_part turn numbers (turn divided by it), so that one endless conversation is many rows; split
-    is 0 but where a part has more than most_rows rows, as when a turn number repeats, which a hash of the text then divides.
-    Turns are ordered by turn, role and text; repeated rows are all rendered. A null role is "unknown", a null text empty, a null turn
-    stands before turn 0 in a part of its own (-1); rows without a conversation are no one's and give nothing, nor do conversations
-    with system turns only.
+    Rows are dealt out by range of all they are ordered by, so that one endless conversation, or one turn repeated without end, lies in
+    many tasks; a task numbers its own, and what the tasks before it hold of a conversation is added.
     """
     c = F.col
     rows = turns.filter(c("conv_id").isNotNull()).select(
         c("conv_id").cast("long").alias("conv_id"),
-        F.coalesce(c("turn").cast("long"), F.lit(-1)).alias("turn"),
+        c("turn").cast("long").alias("turn"),
         F.coalesce(c("role").cast("string"), F.lit("unknown")).alias("role"),
         F.coalesce(c("text").cast("string"), F.lit("")).alias("said"),
-    ).withColumn("part", F.floor(c("turn") / turns_a_part))
-    sizes = rows.groupBy("conv_id", "part").agg(F.count("*").alias("size")).filter(c("size") > most_rows)
-    rows = rows.join(sizes, ["conv_id", "part"], "left")
-    spread = F.conv(F.substring(F.md5("said"), 1, 8), 16, 10).cast("long") % F.ceil(c("size") / most_rows)
-    rows = rows.withColumn("split", F.coalesce(spread, F.lit(0))).drop("size")
+        F.monotonically_increasing_id().alias("copy"),  # equal rows are alike, whichever comes first
+    )
+    dealt = rows.repartitionByRange("conv_id", "turn", "role", "said", "copy").withColumn("task", F.spark_partition_id())
+    dealt = common.cut(dealt, "turns")  # written, as a task's number holds for one run only
+    before = Window.partitionBy("conv_id").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy("conv_id", "task").agg(F.count("*").alias("size")).select("conv_id", "task", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("conv_id", "task").orderBy("turn", "role", "said", "copy"))
+    return dealt.withColumn("own", own).join(base, ["conv_id", "task"]).select("conv_id", "role", "said", (c("base") + c("own") - 1).alias("place"))
+
+
+def rotate(turns: DataFrame, turns_a_part: int = TURNS) -> DataFrame:
+    """conv_id, speaker, part, n_turns, start, text and mask for each participant of each conversation.
+
+    The dialogue is rendered with the speaker's turns as assistant, other participants' as named user turns, and system turns, which
+    aren't a participant's, as system; mask lists start:end (code points of the whole dialogue, end exclusive) of what the speaker
+    says, end mark included. A dialogue comes in parts of turns_a_part turns; start is the part's place in it, so that texts and masks
+    of the parts, one behind the other, are those of the whole dialogue, however long. Turns are ordered by turn, role and text, a null
+    turn first; repeated rows are all rendered. A null role is "unknown", a null text empty; rows without a conversation are no one's
+    and give nothing, nor do conversations with system turns only, nor an empty table.
+    """
+    c = F.col
+    rows = placed(turns).withColumn("part", F.floor(c("place") / turns_a_part))
     speakers = rows.filter(c("role") != SYSTEM).select("conv_id", c("role").alias("speaker")).distinct()
-    seen = rows.join(speakers, "conv_id")
+    line = F.struct("place", "role", "said")
+    parts = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(line)).alias("lines"))  # turns_a_part at most
+    seen = parts.join(speakers, "conv_id")
+
+    def head(role: Column) -> Column:
+        named = F.concat(F.lit("<|user name="), role, F.lit("|>\n"))
+        return F.when(role == c("speaker"), F.lit("<|assistant|>\n")).when(role == SYSTEM, F.lit("<|system|>\n")).otherwise(named)
 
-    mine = c("role") == c("speaker")
-    head = F.when(mine, F.lit("<|assistant|>\n")).when(c("role") == SYSTEM, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), "role", F.lit("|>\n")))
-    body = F.concat("said", F.lit(END))
-    line = F.struct("turn", "role", "said", head.alias("head"), body.alias("body"), mine.alias("mine"))
-    parts = seen.groupBy("conv_id", "speaker", "part", "split").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: F.concat(head(x["role"]), x["said"], F.lit(END))), "")
+    shown = seen.select("conv_id", "speaker", "part", F.size("lines").alias("n_turns"), text.alias("text"), F.transform("lines", lambda x: F.struct(x["role"].alias("role"), F.length(x["said"]).alias("n"))).alias("sizes"))
+    before = Window.partitionBy("conv_id", "speaker").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = seen.select("conv_id", "speaker", "part", F.aggregate("lines", F.lit(0), lambda n, x: n + F.length(head(x["role"])) + F.length(x["said"]) + len(END)).alias("chars"))
+    starts = starts.select("conv_id", "speaker", "part", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("start"))  # a row a part, without its text
+    shown = shown.join(starts, ["conv_id", "speaker", "part"])
 
     def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["head"])
-        end = start + F.length(x["body"])
-        span = F.when(x["mine"], F.array(F.concat_ws(":", start, end))).otherwise(F.array().cast("array<string>"))
+        first = state["at"] + F.length(head(x["role"]))
+        end = first + x["n"] + len(END)
+        span = F.when(x["role"] == c("speaker"), F.array(F.concat_ws(":", first, end))).otherwise(F.array().cast("array<string>"))
         return F.struct(end.alias("at"), F.concat(state["spans"], span).alias("spans"))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
-    mask = F.aggregate("lines", first, step, lambda s: F.array_join(s["spans"], ","))
-    text = F.array_join(F.transform("lines", lambda x: F.concat(x["head"], x["body"])), "")
-    return parts.select("conv_id", "speaker", "part", "split", F.size("lines").alias("n_turns"), text.alias("text"), mask.alias("mask"))
+    none = F.struct(c("start").alias("at"), F.array().cast("array<string>").alias("spans"))
+    mask = F.aggregate("sizes", none, step, lambda s: F.array_join(s["spans"], ","))
+    return shown.select("conv_id", "speaker", "part", "n_turns", "start", "text", mask.alias("mask"))
 
 
 def op8_chat(spark, sf_dir: str) -> DataFrame:
@@ -62,19 +80,17 @@ def op8_chat(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = rf"""
 WITH r AS (
-  SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said,
-    CAST(floor(coalesce(turn, -1) / {TURNS}) AS BIGINT) AS part
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS place
   FROM conversations WHERE conv_id IS NOT NULL),
-z AS (SELECT *, count(*) OVER (PARTITION BY conv_id, part) AS size FROM r),
-s AS (SELECT *, CASE WHEN size > {MOST_ROWS} THEN CAST('0x' || substr(md5(said), 1, 8) AS BIGINT) % CAST(ceil(size / {MOST_ROWS}) AS BIGINT) ELSE 0 END AS split FROM z),
 d AS (SELECT DISTINCT conv_id, role AS speaker FROM r WHERE role <> '{SYSTEM}'),
 l AS (
-  SELECT s.*, speaker, role = speaker AS mine, row_number() OVER (PARTITION BY s.conv_id, speaker, part, split ORDER BY turn, role, said) AS n,
+  SELECT r.*, speaker, role = speaker AS mine,
     CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = '{SYSTEM}' THEN '<|system|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS head,
     said || '<|end|>' || chr(10) AS body
-  FROM s JOIN d USING (conv_id)),
-o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part, split ORDER BY n) AS e FROM l)
-SELECT conv_id, speaker, part, split, CAST(count(*) AS INTEGER) AS n_turns, string_agg(head || body, '' ORDER BY n) AS text,
-  coalesce(string_agg((CAST(e AS BIGINT) - length(body)) || ':' || CAST(e AS BIGINT), ',' ORDER BY n) FILTER (WHERE mine), '') AS mask
-FROM o GROUP BY conv_id, speaker, part, split
+  FROM r JOIN d USING (conv_id)),
+o AS (SELECT *, CAST(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker ORDER BY place) AS BIGINT) AS e FROM l)
+SELECT conv_id, speaker, CAST(place // {TURNS} AS BIGINT) AS part, CAST(count(*) AS INTEGER) AS n_turns, min(e - length(head) - length(body)) AS start,
+  string_agg(head || body, '' ORDER BY place) AS text, coalesce(string_agg((e - length(body)) || ':' || e, ',' ORDER BY place) FILTER (WHERE mine), '') AS mask
+FROM o GROUP BY conv_id, speaker, place // {TURNS}
 """

@@ -19,15 +19,21 @@ MIX_A, MIX_B, GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _shipped: dict[str, str] = {}
+_own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a folder of its own where the setting is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode, as in tests; a cluster
+    must name its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='quarrymill-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='quarrymill-')}"
+    return _own_dirs[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: An item may differ by one edit in so many characters; items searched at once, in characters; items shorter than this must match exactly.
-EDIT_EVERY, BLOCK_CHARS, SHORT = 12, 4_000_000, 40
+#: An item may differ by one edit in so many characters, whatever its length; items searched at once, in characters.
+EDIT_EVERY, BLOCK_CHARS = 12, 4_000_000
 MATCHES = "doc_id long, item_id long, distance int, start int, end int"
 
 
@@ -21,7 +21,7 @@ def normal(text: str) -> str:
 
 
 def budget(size: int) -> int:
-    return size // EDIT_EVERY if size >= SHORT else 0
+    return size // EDIT_EVERY
 
 
 def pieces(item: str, parts: int) -> list[tuple[int, str]]:
@@ -83,14 +83,17 @@ class Block:
 
     def mask(self, k: int) -> dict[str, int]:
         if self.masks[k] is None:
-            out: dict[str, int] = {}
-            for n, c in enumerate(self.items[k][1]):
-                out[c] = out.get(c, 0) | 1 << n
-            self.masks[k] = out
+            self.masks[k] = masks(self.items[k][1])
         return self.masks[k]
 
+    @staticmethod
+    def first(item: str, part: str, distance: int) -> int:
+        """Where the longest-ending match of so many edits that ends with part begins, by the same search backwards."""
+        back = myers(masks(item[::-1]), len(item), part[::-1], distance)
+        return len(part) - back[1]
+
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """item_id, distance, start of the window searched and end of the best part, for each item that text holds within its budget."""
+        """item_id, distance, start and end of the best part, for each item that text holds within its budget."""
         windows: dict[int, list[list[int]]] = {}
         if not len(self.find):
             return []
@@ -114,12 +117,20 @@ class Block:
                     continue
                 got = myers(self.mask(k), len(item), part, most)
                 if got and (best is None or got[0] < best[0]):
-                    best = (got[0], max(a, 0), max(a, 0) + got[1])
+                    best = (got[0], self.first(item, part[: got[1]], got[0]) + max(a, 0), max(a, 0) + got[1])
                     if not best[0]:
                         break
             if best:
                 out.append((item_id, *best))
-        return sorted(out)
+        return sorted(out, key=lambda m: (m[0] is None, m[0] or 0, *m[1:]))
+
+
+def masks(item: str) -> dict[str, int]:
+    """For each character the places where it stands, as bits."""
+    out: dict[str, int] = {}
+    for n, c in enumerate(item):
+        out[c] = out.get(c, 0) | 1 << n
+    return out
 
 
 def alike(part: str, item: str, most: int) -> bool:
@@ -128,27 +139,32 @@ def alike(part: str, item: str, most: int) -> bool:
     return lost <= most
 
 
-def blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items, normalised, in blocks of BLOCK_CHARS characters; one empty block if there are none."""
-    items = [(r[0], t) for r in benchmark.select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text").toLocalIterator() if r[1] and (t := normal(r[1]))]
-    out: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for item in dict.fromkeys(items):
-        if size + len(item[1]) > BLOCK_CHARS and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append(item)
-        size += len(item[1])
-    return out
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items, normalised, in blocks of about BLOCK_CHARS characters, one at a time; one empty block if there are none.
+
+    Items are normalised and dealt into blocks on Spark; the driver holds one block, never all items.
+    """
+
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([normal(t or "") for t in b.column(1).to_pylist()], pa.string())], ["item_id", "item"])
+
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, "item_id long, item string")
+    items = common.cut(items.filter("item != ''").distinct(), "items")
+    count = max(1, -(-(items.agg(F.sum(F.length("item"))).first()[0] or 0) // BLOCK_CHARS))
+    for k in range(count):
+        own = items.filter(F.pmod(F.xxhash64("item_id", "item"), F.lit(count)) == k)
+        yield [(r[0], r[1]) for r in own.orderBy("item_id", "item").toLocalIterator()]
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, distance, start and end (in normalised text) for each pair of a document and an item that it holds within the item's
     error budget, once a pair with the best place.
 
-    The items are the query set: they go to the tasks in blocks of BLOCK_CHARS characters, each block searched over all documents, so a
-    task's automaton stays bounded. Null or empty texts and items match nothing; repeated documents each give their pairs, repeated
-    items one; a document's whole text is searched.
+    The items are the query set: block by block they go to the tasks, each block is searched over all documents and its matches are
+    written, so that a task's automaton and what the driver holds stay bounded. Null or empty texts and items match nothing; repeated
+    documents each give their pairs, repeated items one; items that share an id are each searched; a null id is passed on; a
+    document's whole text is searched. Empty tables give an empty result.
     """
     spark = docs.sparkSession
     common.ship(spark)
@@ -160,14 +176,14 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             look = Block(block)
             for b in it:
                 rows = [(doc, *m) for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in look.matches(normal(t))]
-                columns = list(zip(*((d, i, s, a, e) for d, i, s, a, e in rows), strict=True)) or [()] * 5
+                columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "distance", "start", "end"])
 
         return task
 
     out = None
     for block in blocks(benchmark):
-        found = texts.mapInArrow(search(block), MATCHES)
+        found = common.cut(texts.mapInArrow(search(block), MATCHES), "matches")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -176,12 +192,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
     """docs without the rows that hold a benchmark item.
 
     Whole rows go through the search and no id is read: rows with a null id are searched as others are, and rows that share an id
-    stay or go each by its own text. A null text holds nothing.
+    stay or go each by its own text. A null text holds nothing. What one block of items leaves is written before the next is searched.
     """
     spark = docs.sparkSession
     common.ship(spark)
     common.small_batches(spark)
-    at = docs.columns.index(text_col)
+    at, schema = docs.columns.index(text_col), docs.schema
 
     def search(block: list[tuple[int, str]]):
         def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +207,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
 
         return task
 
+    left = None
     for block in blocks(benchmark):
-        docs = docs.mapInArrow(search(block), docs.schema)
-    return docs
+        docs = docs if left is None else common.cut(left, "clean")
+        left = docs.mapInArrow(search(block), schema)
+    return left
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

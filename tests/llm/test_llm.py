@@ -142,15 +142,59 @@ def test_myers_equals_edit_distance():
         return min(row)
 
     r = random.Random(2)
-    for _ in range(80):
-        item = "".join(r.choice("abcde ") for _ in range(60)).strip()
+    for turn in range(160):
+        item = "".join(r.choice("abcde ") for _ in range(r.choice((8, 20, 39, 41, 60, 90)))).strip()
         item = decontaminate.normal(item)
         text = list(item)
-        for _ in range(r.randint(0, 8)):
+        for _ in range(r.randint(0, 8) if turn % 2 else decontaminate.budget(len(item))):
             text[r.randrange(len(text))] = r.choice("abcde")
         text = decontaminate.normal("zz " + "".join(text) + " yy")
         got, want = decontaminate.Block([(1, item)]).matches(text), least(item, text)
         assert bool(got) == (want <= decontaminate.budget(len(item))) and (not got or got[0][1] == want)
+        if got:
+            assert whole(item, text[got[0][2] : got[0][3]]) == want  # the distance to just that part
+
+
+def whole(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, d in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("block", [10, 4_000_000])
+def test_items_in_blocks_equal_plain_search(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
+    docs = spark.createDataFrame([(1, "The quick  brown fox"), (1, "a LAZY dog sleeps"), (None, "quick brown"), (4, None), (5, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "quick brown"), (None, "lazy dog"), (8, "absent here"), (9, None), (9, ""), (7, "Quick Brown")], "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.distance, r.start, r.end) for r in decontaminate.find_items(docs, items).collect()), key=repr)
+    assert got == sorted([(1, 7, 0, 4, 15), (1, None, 0, 2, 10), (None, 7, 0, 0, 11)], key=repr)
+    assert sorted(r.text or "" for r in decontaminate.clean(docs, items).collect()) == ["", ""]
+    assert decontaminate.find_items(docs, items.limit(0)).count() == decontaminate.find_items(docs.limit(0), items).count() == 0
+
+
+def test_chat_parts_join_into_whole_dialogues(spark):
+    r = random.Random(8)
+    rows = [(1, r.choice((k, 10**12 + k, None)), r.choice(("ann", "bob", "system", None)), r.choice((None, "", "x" * r.randint(0, 9), "häß🙂"))) for k in range(230)]
+    rows += [(2, 5, "ann", "again")] * 150 + [(3, 0, "system", "s"), (None, 0, "ann", "x")]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for conv, speakers in ((1, ("ann", "bob", "unknown")), (2, ("ann",))):
+        own = sorted(((-1 if t is None else 1, t or 0, role or "unknown", x or "") for c, t, role, x in rows if c == conv))
+        for who in speakers:
+            text, mask = "", []
+            for _, _, role, x in own:
+                text += "<|assistant|>\n" if role == who else "<|system|>\n" if role == "system" else f"<|user name={role}|>\n"
+                at = len(text)
+                text += x + "<|end|>\n"
+                mask += [f"{at}:{len(text)}"] if role == who else []
+            parts = sorted((p for p in got if p.conv_id == conv and p.speaker == who), key=lambda p: p.part)
+            assert "".join(p.text for p in parts) == text and ",".join(p["mask"] for p in parts if p["mask"]) == ",".join(mask)
+            assert [p.n_turns for p in parts] == [64] * (len(own) // 64) + [len(own) % 64] * (len(own) % 64 > 0)
+            assert [p.start for p in parts] == [sum(len(q.text) for q in parts[:k]) for k in range(len(parts))]
+    assert {p.conv_id for p in got} == {1, 2} and chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
 def test_quality_counts_and_verdicts(spark, docs):

@@ -115,9 +115,9 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of a few MB, so that a batch of long texts fits a Python worker. All operators want the same."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """Arrow batches of 2 MB, so that a batch of long texts fits a Python worker. All operators want the same."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -40,7 +40,7 @@ BLOCK, STAR, FILTER_BITS, AT_ONCE = 2048, 256, 1 << 24, 1 << 19
 #: Sizes of a band differ by this factor at most; segments for each token that may differ; bits of a bitmap for each token, and at most.
 BAND, SPARE, SKETCH, SKETCH_MOST = Fraction(3, 2), 1.17, 4, 8192
 #: A key is hot with so many sets or more and this share of all sets; keys counted at once.
-HOT_LEAST, HOT, COUNTED = 256, 2048, 1 << 21
+HOT_LEAST, HOT, COUNTED = 256, 512, 1 << 20
 ONE, HALF, SALT = np.uint64(1), np.uint64(32), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -209,7 +209,7 @@ def task_sets(bands: Bands):
         k, h = k[order], h[order]
         at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         n = np.diff(np.append(at, len(k)))
-        pick = n >= max(16, sets // HOT)
+        pick = n >= max(8, sets // HOT)
         return np.stack((k[at].view(np.int64), n, np.minimum.reduceat(h, at)), 1)[pick].tobytes()
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from . import common
 
 #: Distinct units, and characters of them, that a task remembers before it starts afresh.
-REMEMBER, REMEMBER_CHARS = 1_200_000, 12_000_000
+REMEMBER, REMEMBER_CHARS = 500_000, 5_000_000
 #: Classes of bytes. Solid: visible ASCII; gap: blank or line feed; mark: punctuation that ends a run of letters.
 SOLID, LETTER, GAP, MARK = 1, 2, 4, 8
 CLASS = np.zeros(256, np.uint8)
@@ -57,7 +57,7 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.chars = 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size, self.units = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.start, self.size, self.units = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), 0
 
     def learn(self, new: list[str]) -> None:
         """Encode units: those without the special string joined by it, in one call."""
@@ -97,7 +97,7 @@ class Encoder:
         edges = np.append(np.flatnonzero(starts), len(data))
         coded = pa.Array.from_buffers(pa.large_string(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
         units = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-        sizes = self.size[units]
+        sizes = self.size[units].astype(np.int64)
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.start[units] - (ends - sizes), sizes) + np.arange(total)]

@@ -28,8 +28,8 @@ def keywords(t: Column, most: int = 10) -> Column:
 
 
 def named_entities(t: Column, most: int = 20) -> Column:
-    """Runs of up to five capitalised words, in order, each once."""
-    found = F.regexp_extract_all(t, F.lit(r"\b[A-Z][A-Za-z0-9]+(?:[- ][A-Z][A-Za-z0-9]+){0,4}\b"), 0)
+    """Runs of up to five capitalised words, in order, each once; words end at what isn't an ASCII letter, digit or underscore."""
+    found = F.regexp_extract_all(t, F.lit(r"(?<![A-Za-z0-9_])[A-Z][A-Za-z0-9]+(?:[- ][A-Z][A-Za-z0-9]+){0,4}(?![A-Za-z0-9_])"), 0)
     return F.slice(F.array_distinct(found), 1, most)
 
 

@@ -28,7 +28,8 @@ def cosine(a, b) -> Column:
 
 def normalized(v) -> Column:
     """v at length 1; zeros where its length is 0."""
-    return F.transform(doubles(v), lambda x: F.when(norm(v) == 0, 0.0).otherwise(x / norm(v)))
+    with_norm = F.transform(F.array(doubles(v)), lambda d: F.struct(d.alias("d"), norm(d).alias("n")))  # a lambda, so that the norm is taken once
+    return F.element_at(F.transform(with_norm, lambda p: F.transform(p["d"], lambda x: F.when(p["n"] == 0, 0.0).otherwise(x / p["n"]))), 1)
 
 
 def preview(v, shown: int = 8) -> Column:

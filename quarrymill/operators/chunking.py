@@ -1,10 +1,110 @@
-"""Documents into chunks, by headings or by windows of words."""
+"""Documents into chunks: by headings and what a chunk may hold, by windows of tokens, or by windows of words."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Splits a text into pieces that, joined, are the text again; a text has as many tokens as pieces, one at least.
+Tokenizer = Callable[[str], list[str]]
+HEADING, PARAGRAPH, SENTENCE = re.compile(r"(#{1,6})\s+(.+)"), re.compile(r"\n{2,}"), re.compile(r"[^。！？!?；;\n]+[。！？!?；;\n]?|\n+")
+MOST_TOKENS, LEAST, MOST, OVERLAP = 512, 64, 8192, 100
+
+
+def pieces(t: str) -> list[str]:
+    """A plain tokenizer: words, up to three digits and single marks, each with the white space before it."""
+    return re.findall(r"\s*(?:[^\W\d_]+|\d{1,3}|[^\w\s]|_)|\s+", t)
+
+
+def sized(value: int | None, default: int, low: int, high: int) -> int:
+    return max(low, min(int(default if value is None else value), high))
+
+
+def by_heading(t: str) -> list[tuple[str, str]]:
+    """Heading and lines of each section; a heading's own line belongs to it, and what stands before the first goes if it is blank."""
+    out: list[tuple[str, list[str]]] = [("Introduction", [])]
+    for line in t.replace("\r\n", "\n").split("\n"):
+        if m := HEADING.fullmatch(line):
+            out.append((m[2].strip(), [line]))
+        else:
+            out[-1][1].append(line)
+    return [(h, body) for h, lines in out if (body := "\n".join(lines).strip())]
+
+
+def packed(parts: list[str], joiner: str, most: int, count: Callable[[str], int], divide: Callable[[str], list[str]]) -> list[str]:
+    """Parts joined in order while their own tokens, joiners not counted, are most or fewer; a part that is larger is divided."""
+    out, now, n = [], [], 0
+    for part in parts:
+        size = count(part)
+        if now and (size > most or n + size > most):
+            out.append(joiner.join(now))
+            now, n = [], 0
+        if size > most:
+            out += divide(part)
+        else:
+            now.append(part)
+            n += size
+    return [*out, joiner.join(now)] if now else out
+
+
+def forced(t: str, most: int, count: Callable[[str], int]) -> list[str]:
+    """The longest beginnings of most tokens or fewer, white space between them left out."""
+    out, t = [], t.strip()
+    while t:
+        low, high = 1, len(t)
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if count(t[:mid]) <= most else (low, mid - 1)
+        out.append(t[:low].strip())
+        t = t[low:].lstrip()
+    return [x for x in out if x]
+
+
+def chunk(t: str, mode: str | None, most: int | None, overlap: int | None, tokenize: Tokenizer) -> list[tuple[str, str]]:
+    """Heading and text of each chunk of one document."""
+
+    def count(x: str) -> int:
+        return max(1, len(tokenize(x)))
+
+    limit = sized(most, MOST_TOKENS, LEAST, MOST)
+    if (mode or ("heading_strict" if most is None and overlap is None else "token")) == "heading_strict":
+        sentences = lambda x: [y for p in packed(SENTENCE.findall(x) or [x], "", limit, count, lambda s: forced(s, limit, count)) if (y := p.strip())]
+        return [(h, p) for h, body in by_heading(t) for p in (packed(PARAGRAPH.split(body), "\n\n", limit, count, sentences) if count(body) > limit else [body])]
+    tokens, out = tokenize(t), []
+    stride = max(1, limit - sized(overlap, OVERLAP, 0, limit - 1))
+    for start in range(0, len(tokens), stride):
+        end = min(start + limit, len(tokens))
+        while count(text := "".join(tokens[start:end]).strip()) > limit and end > start + 1:
+            end -= 1
+        if text:
+            out.append((next((m[2].strip() for line in text.split("\n") if (m := HEADING.fullmatch(line))), "Introduction"), text))
+        if end >= len(tokens):
+            break
+    return out
+
+
+def chunk_markdown(docs: DataFrame, mode: str | None = None, max_tokens: int | None = None, overlap: int | None = None, tokenize: Tokenizer = pieces) -> DataFrame:
+    """doc_id, rank, heading, content and n_tokens of each document's chunks.
+
+    mode heading_strict, the default unless a size is given: a section for each Markdown heading, in order; one of more than
+    max_tokens is packed from its paragraphs, a larger paragraph from its sentences, a larger sentence cut. mode token: windows of
+    max_tokens that overlap. max_tokens is held to 64 to 8192, overlap to less than that. A null or blank text gives no rows; each
+    row is chunked within its task, without a shuffle.
+    """
+
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = [(doc, k, h, x, max(1, len(tokenize(x)))) for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, (h, x) in enumerate(chunk(t or "", mode, max_tokens, overlap, tokenize))]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)], ["doc_id", "rank", "heading", "content", "n_tokens"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(task, "doc_id long, rank int, heading string, content string, n_tokens long")
+
 
 def word_windows(docs: DataFrame, size: int = 512, overlap: int = 100) -> DataFrame:
     """doc_id, rank and content of windows of size words, each starting size - overlap words after the last; none starts past the end."""
@@ -14,19 +114,3 @@ def word_windows(docs: DataFrame, size: int = 512, overlap: int = 100) -> DataFr
     starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size("words") - size) / stride), F.lit(0)).cast("int"))
     cut = docs.select("doc_id", words.alias("words")).filter(F.size("words") > 0).select("doc_id", "words", F.explode(starts).alias("rank"))
     return cut.select("doc_id", "rank", F.array_join(F.slice("words", F.col("rank") * stride + 1, size), " ").alias("content"))
-
-
-def sections(docs: DataFrame, first: str = "Introduction") -> DataFrame:
-    """doc_id, rank, heading and content: a Markdown heading starts a section; what stands before the first is one too unless blank.
-
-    A document's lines are numbered within its row; lines of one document stay together by doc_id only.
-    """
-    lines = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("n", "line"))
-    heading = F.regexp_extract("line", r"^#{1,6}\s+(.+)$", 1)
-    marked = lines.withColumn("heading", F.nullif(F.trim(heading), F.lit("")))
-    section = F.sum(F.col("heading").isNotNull().cast("int")).over(Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    parts = marked.withColumn("section", section).groupBy("doc_id", "section").agg(F.max("heading").alias("heading"), F.sort_array(F.collect_list(F.struct("n", F.when(F.col("heading").isNull(), F.col("line")).alias("line")))).alias("lines"))
-    content = F.trim(F.array_join("lines.line", "\n"))
-    kept = parts.withColumn("content", content).filter((F.col("section") > 0) | (F.col("content") != ""))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("section")) - 1
-    return kept.select("doc_id", rank.alias("rank"), F.coalesce("heading", F.lit(first)).alias("heading"), "content")

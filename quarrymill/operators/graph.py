@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import relations
 
+_local: dict[str, str] = {}
+
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a frontier: a reliable checkpoint where spark.checkpoint.dir is set, else the plan as it is."""
+    """Cut the lineage of a frontier by a reliable checkpoint in spark.checkpoint.dir; where it is unset, in a temporary folder in local
+    mode, and on a cluster, which then has no shared folder, the plan stays as it is."""
     spark: SparkSession = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        return df
+        if not spark.sparkContext.master.startswith("local["):
+            return df
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = f"file://{tempfile.mkdtemp(prefix='frontiers-')}"
+        at = _local[app]
     spark.sparkContext.setCheckpointDir(at)
     return df.checkpoint()
 

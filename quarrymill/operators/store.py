@@ -57,3 +57,38 @@ def merge_metadata(old, new):
 def archive(rows: DataFrame, which, at: str, column: str = "archived_at") -> DataFrame:
     """Rows with the given condition archived at that time; those already archived keep their first time."""
     return rows.withColumn(column, F.when(which, F.coalesce(column, F.lit(at).cast(rows.schema[column].dataType))).otherwise(F.col(column)))
+
+
+def restore(rows: DataFrame, which, column: str = "archived_at") -> DataFrame:
+    """Rows with the given condition live again."""
+    return rows.withColumn(column, F.when(which, F.lit(None)).otherwise(F.col(column)))
+
+
+def merge_sources(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Sources after new ones arrive: name and description of those known stay, metadata maps are merged, unknown ones are added."""
+    n = new.select(key, *(F.col(c).alias(f"new_{c}") for c in ("name", "description", "metadata")))
+    both = old.join(n, key, "full")
+    merged = merge_metadata(F.col("metadata"), F.col("new_metadata")).alias("metadata")
+    return both.select(key, F.coalesce("name", "new_name").alias("name"), F.coalesce("description", "new_description").alias("description"), merged)
+
+
+def replace_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """old with new rows in place of those with the same keys: an upsert that replaces every other column."""
+    return old.join(new.select(keys).distinct(), keys, "left_anti").unionByName(new)
+
+
+def reviewed(edges: DataFrame, reviews: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Edges after reviews (new_status, new_confidence; null keeps), and the audit: key, before, after and the action that after tells."""
+    both = edges.join(reviews, key, "left")
+    after = F.coalesce("new_status", "status")
+    out = both.select(key, after.alias("status"), F.coalesce("new_confidence", "confidence").alias("confidence"))
+    action = F.when(after == "CONFIRMED", "confirm").when(after == "REJECTED", "reject").when(after == "DISABLED", "disable").otherwise("update")
+    audit = edges.join(reviews, key).select(key, F.col("status").alias("before"), after.alias("after"), action.alias("action"))
+    return out, audit
+
+
+def delete_source(source_col: str, gone: DataFrame, documents: DataFrame, events: DataFrame, bridge: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the gone sources and all that hangs on them."""
+    docs = documents.join(gone, source_col, "left_anti")
+    left = events.join(docs.select("document_id"), "document_id", "left_semi")
+    return {"documents": docs, "events": left, "bridge": bridge.join(left.select("event_id"), "event_id", "left_semi")}

@@ -2,15 +2,36 @@
 
 import random
 
-from quarrymill.operators import chunking, graph, search, store
-from quarrymill.functions import fulltext, kinds, text
+import pytest
 from pyspark.sql import functions as F
 
+from quarrymill import sources, streaming
+from quarrymill.functions import fulltext, kinds, ontology, text
+from quarrymill.operators import chunking, graph, recall, search, store
+from quarrymill.plans import service
+
 
 def test_sections_split_at_headings(spark):
-    docs = spark.createDataFrame([(1, "intro\n# One\na\n## Two\nb"), (2, ""), (3, "# Only")], "doc_id long, text string")
-    got = sorted((r.doc_id, r["rank"], r.heading, r.content) for r in chunking.sections(docs).collect())
-    assert got == [(1, 0, "Introduction", "intro"), (1, 1, "One", "a"), (1, 2, "Two", "b"), (3, 0, "Only", "")]
+    docs = spark.createDataFrame([(1, "intro\r\n# One\na\n## Two\nb"), (2, ""), (3, "# Only"), (4, None), (5, " \n\n# A\nx")], "doc_id long, text string")
+    got = sorted((r.doc_id, r["rank"], r.heading, r.content) for r in chunking.chunk_markdown(docs).collect())
+    assert got == [(1, 0, "Introduction", "intro"), (1, 1, "One", "# One\na"), (1, 2, "Two", "## Two\nb"), (3, 0, "Only", "# Only"), (5, 0, "A", "# A\nx")]
+
+
+def test_token_windows_overlap_and_are_held_to_limits(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{chr(97 + k % 26)}" for k in range(180)))], "doc_id long, text string")
+    got = chunking.chunk_markdown(docs, max_tokens=80, overlap=20).orderBy("rank").collect()
+    assert [r.n_tokens for r in got] == [80, 80, 60] and got[1].content.split()[:20] == got[0].content.split()[60:]
+    assert [r.n_tokens for r in chunking.chunk_markdown(docs, max_tokens=1, overlap=-5).orderBy("rank").collect()] == [64, 64, 52]
+
+
+def test_large_sections_are_packed_from_paragraphs_sentences_and_pieces(spark):
+    words = lambda n: " ".join(["word"] * n)
+    whole = f"{words(30)}\n\n{words(30)}\n\n{words(10)}\n\n{words(40)}; {words(40)}; {words(200)}"
+    got = [(r.n_tokens, r.content) for r in chunking.chunk_markdown(spark.createDataFrame([(1, whole)], "doc_id long, text string"), "heading_strict", 64).orderBy("rank").collect()]
+    assert [n for n, _ in got] == [60, 10, 41, 41, 64, 64, 64, 8]
+    assert " ".join(x for _, x in got).split() == whole.split()
+    assert [len(x) for _, x in chunking.chunk("x" * 300, "heading_strict", 64, None, list)] == [64, 64, 64, 64, 44]
+    assert chunking.packed(["a", "bbb", "c"], "-", 2, len, lambda x: list(x)) == ["a", "b", "b", "b", "c"]
 
 
 def test_windows_cover_all_words(spark):
@@ -76,3 +97,58 @@ def test_many_queries_are_one_scan(spark):
     cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
     want = {(q, i, n) for q, a in rows for n, (i, _) in enumerate(sorted(rows, key=lambda x: -cosine(a, x[1]))[:3], 1)}
     assert {(x.q, x.vec_id, x["rank"]) for x in got.collect()} == want
+
+
+def test_cover_rank_counts_shortest_stretches(spark):
+    docs = spark.createDataFrame([(1, "a x b a b"), (2, "a a"), (3, "b x y a"), (4, None)], "i int, t string")
+    got = {r.i: round(r["rank"], 6) for r in recall.cover_rank(docs, "i", "t", ["a", "b"]).collect()}
+    assert got == {1: round(0.1 / 2 + 0.1 + 0.1, 6), 3: round(0.1 / 3, 6)}
+    assert {r.i: round(r["rank"], 6) for r in recall.cover_rank(docs, "i", "t", ["a"]).collect()} == {1: 0.2, 2: 0.2, 3: 0.1}
+
+
+def test_paths_go_on_from_either_end(spark):
+    rows = [(1, "a", "b", "USES", True), (2, "c", "b", "USES", True), (3, "b", "d", "RELATED_TO", True), (4, "b", "e", "USES", False), (5, "x", "a", "RELATED_TO", False)]
+    edges = spark.createDataFrame([(*r, 1.0, 1.0, 0.0) for r in rows], "edge_id int, subject string, object string, kind string, reasoning boolean, confidence double, quality double, strength double")
+    got = {r.path for r in recall.paths_both_ways(edges, spark.createDataFrame([("a",)], "node string"), 3, 50).collect()}
+    assert got == {"1", "1>2", "5", "5>1", "5>1>2"}
+
+
+def test_relation_names_and_gate(spark):
+    names = {" uses ": "USES", "A is a B": "IS_A", "满足要求": "REQUIRES", "nothing": "RELATED_TO", "part_of": "PART_OF", "belongs to x": "PART_OF", None: "RELATED_TO"}
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", ontology.relation_type(F.col("n")).alias("k")).collect()
+    assert {r.n: r.k for r in got} == names
+    rows = [("USES", 0.7, "e", None), ("USES", 0.7, "", None), ("USES", 0.7, "e", 0.8), ("RELATED_TO", 0.81, "e", 0.1), ("CAUSES", 0.9, "e", None), ("NOPE", 0.9, "e", None), ("USES", None, "e", None)]
+    df = spark.createDataFrame(rows, "k string, c double, e string, m double")
+    off = F.array(F.lit("CAUSES"))
+    assert [r[0] for r in df.select(ontology.passes(F.col("k"), F.col("c"), F.col("e"), F.col("m"), off)).collect()] == [True] + [False] * 6
+
+
+def test_search_dispatch_and_fallback(spark, tmp_path):
+    with pytest.raises(ValueError):
+        service.run_search(spark, "/root/testdata/sf0.001", "guess")
+    a, b = spark.createDataFrame([], "i int"), spark.createDataFrame([(1,), (2,)], "i int")
+    assert [r.i for r in recall.or_else(a, b).collect()] == [1, 2] and [r.i for r in recall.or_else(b.filter("i = 2"), b).collect()] == [2]
+
+
+def test_files_and_connector_rows(spark, tmp_path):
+    for name, body in (("a.md", "# A"), ("b.txt", "text"), ("c.pdf", "x"), ("empty.md", " ")):
+        (tmp_path / name).write_text(body)
+    got = {(r.title, r.content) for r in sources.text_files(spark, str(tmp_path)).collect()}
+    assert got == {("a", "# A"), ("b", "text")}
+    rows = spark.createDataFrame([("1", "u1", "T", 5), ("2", "", "x", 6), ("", "u", "x", 7), ("3", "u3", " ", 8)], "id string, url string, name string, _score int")
+    page = sources.connector_rows(rows, "id", "url", "name", limit=500)
+    assert page.columns == ["id", "url", "name", "title"] and [(r.id, r.title) for r in page.collect()] == [("1", "T"), ("3", "3")]
+    assert [r.value for r in sources.as_json(page.select("id")).collect()] == ['{"id":"1"}', '{"id":"3"}']
+
+
+def test_streams_of_activity_and_repeats(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-01-01 01:00:00", "a", 1.0), (2, "2024-01-01 02:00:00", "a", 2.0), (2, "2024-01-01 02:00:00", "a", 2.0), (3, "2024-01-09 00:00:00", "b", 4.0)], "event_id long, t string, event_type string, value double")
+    rows = rows.select("event_id", F.col("t").cast("timestamp").alias("ts"), "event_type", "value")
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = streaming.without_repeats(streaming.read_events(spark, f"{tmp_path}/in", rows.schema), "event_id", "ts")
+    q = stream.writeStream.format("memory").queryName("unique_logs").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(r.event_id for r in spark.table("unique_logs").collect()) == [1, 2, 3]
+    q = streaming.activity(streaming.read_events(spark, f"{tmp_path}/in", rows.schema)).writeStream.format("memory").queryName("daily").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert [(str(r.start), r.event_type, r.n, r.value) for r in spark.table("daily").collect()] == [("2024-01-01 00:00:00", "a", 3, 5.0)]

@@ -149,7 +149,7 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         for b in it:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([normal(t or "") for t in b.column(1).to_pylist()], pa.string())], ["item_id", "item"])
 
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, "item_id long, item string")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.lean(task), "item_id long, item string")
     items = common.cut(items.filter("item != ''").distinct(), "items")
     count = max(1, -(-(items.agg(F.sum(F.length("item"))).first()[0] or 0) // BLOCK_CHARS))
     for k in range(count):
@@ -183,7 +183,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     out = None
     for block in blocks(benchmark):
-        found = common.cut(texts.mapInArrow(search(block), MATCHES), "matches")
+        found = common.cut(texts.mapInArrow(common.lean(search(block)), MATCHES), "matches")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -210,7 +210,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
     left = None
     for block in blocks(benchmark):
         docs = docs if left is None else common.cut(left, "clean")
-        left = docs.mapInArrow(search(block), schema)
+        left = docs.mapInArrow(common.lean(search(block)), schema)
     return left
 
 

@@ -403,7 +403,7 @@ def row_filter(ids: DataFrame) -> np.ndarray:
             at = common.mix(b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((ONE << (at & np.uint64(63))).view(np.int64))], ["word", "bit"])
 
-    found = ids.mapInArrow(task, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    found = ids.mapInArrow(common.lean(task), "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.uint64)
     bits[found.column("word").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
     return bits
@@ -521,7 +521,7 @@ def verified(pairs: DataFrame, texts: DataFrame, ratio: tuple[int, int]) -> Data
     others = dealt.select("a", "piece", "b").join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "piece", "b", "text")
     centers = dealt.select("a", "piece").distinct().join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", "piece", F.lit(None).cast("long").alias("b"), "text")
     rows = centers.unionByName(others).repartition("a", "piece").sortWithinPartitions("a", "piece", "b")
-    return rows.mapInArrow(task_verify(*ratio), "a long, b long")
+    return rows.mapInArrow(common.lean(task_verify(*ratio)), "a long, b long")
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
@@ -537,7 +537,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num
     common.small_batches(spark)
     cuts, ratio = common.Cuts(spark), (numerator, denominator)
     docs = common.id_text(docs, id_col, text_col)
-    made = common.cut(docs.mapInArrow(task_sets(Bands(*ratio)), SETS), "sets")
+    made = common.cut(docs.mapInArrow(common.lean(task_sets(Bands(*ratio))), SETS), "sets")
     sets = made.filter("n is not null")
     classes = sets.filter("h is not null").groupBy("h", "p").agg(F.min("doc_id").alias("first"), F.min("need").alias("need"), F.min(F.when(F.col("keys").isNotNull(), F.col("row"))).alias("row"))
     # two sets with one h, of 64 bits, are told apart by p
@@ -545,28 +545,28 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num
     classes = common.cut(classes.withColumn("twin", twin).select("h", "p", "first", "row", "need", F.when(F.col("twin") == 1, F.col("h")).otherwise(F.xxhash64("h", "twin")).alias("node")), "classes")
 
     count = classes.count()
-    hot = made.filter("often is not null").select("often").mapInArrow(task_common, "key long, n long, h long").groupBy("key").agg(F.sum("n").alias("n"), F.min("h").alias("h"))
+    hot = made.filter("often is not null").select("often").mapInArrow(common.lean(task_common), "key long, n long, h long").groupBy("key").agg(F.sum("n").alias("n"), F.min("h").alias("h"))
     hot = hot.filter(F.col("n") >= max(HOT_LEAST, count / HOT)).orderBy("key").toArrow()  # HOT times a set's mean entries at most
-    entries = sets.filter("keys is not null").select("h", "keys").mapInArrow(task_entries(hot.column("key").to_numpy(), hot.column("h").to_numpy()), "key long, h long, hot boolean")
+    entries = sets.filter("keys is not null").select("h", "keys").mapInArrow(common.lean(task_entries(hot.column("key").to_numpy(), hot.column("h").to_numpy())), "key long, h long, hot boolean")
     entries = entries.repartition(F.when(F.col("hot"), F.xxhash64("h")).otherwise(F.col("key"))).sortWithinPartitions("key")
-    shared = cuts(entries.mapInArrow(task_bundles, "bundle long, h long, keys long").groupBy("bundle", "h").agg(F.sum("keys").alias("keys")), "shared")
+    shared = cuts(entries.mapInArrow(common.lean(task_bundles), "bundle long, h long, keys long").groupBy("bundle", "h").agg(F.sum("keys").alias("keys")), "shared")
 
     asked = shared.groupBy("h").agg(F.sum("keys").alias("keys")).join(classes, "h").filter("keys >= need").drop("keys")
     profile = cuts(asked.join(sets.select("row", "n", "sketch"), "row").select("h", "p", F.col("first").alias("doc_id"), "node", "n", "sketch"), "profile")
     bundles = cuts(shared.join(profile.select("h", "node"), "h").select("bundle", "node"), "bundles")
     cuts.drop(shared)
-    first = cuts(pieces(bundles, profile, None, 1, False).mapInArrow(task_pairs(*ratio, False), "a long, b long").distinct(), "pairs")
+    first = cuts(pieces(bundles, profile, None, 1, False).mapInArrow(common.lean(task_pairs(*ratio, False)), "a long, b long").distinct(), "pairs")
     left = bundles.join(first.filter("b is null").select(F.col("a").alias("bundle")).union(bundles.groupBy("bundle").count().filter(F.col("count") > BLOCK).select("bundle")).distinct(), "bundle", "left_semi")
     left = cuts(left, "left")
     pairs = first.filter("b is not null")
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(left.select("node")).distinct()
     asked = cuts(profile.join(named, "node", "left_semi").select("h", "p", "doc_id", "node"), "asked")
-    texts = docs.mapInArrow(task_texts(row_filter(asked.select("doc_id"))), "h long, p long, text string")
+    texts = docs.mapInArrow(common.lean(task_texts(row_filter(asked.select("doc_id")))), "h long, p long, text string")
     texts = cuts(texts.join(asked.select("h", "p", "node"), ["h", "p"]).select("node", "text"), "texts")
 
     edges = components(verified(pairs, texts, ratio), cuts)
     for turn in (2, 3):
-        again = pieces(left, profile, labels(edges), turn, turn == 3).mapInArrow(task_pairs(*ratio, turn == 3), "a long, b long").filter("b is not null")
+        again = pieces(left, profile, labels(edges), turn, turn == 3).mapInArrow(common.lean(task_pairs(*ratio, turn == 3)), "a long, b long").filter("b is not null")
         pairs = cuts(again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if turn == 3 else again.distinct(), "pairs")
         new = components(verified(pairs, texts, ratio).union(edges), cuts)
         cuts.drop(pairs, edges)

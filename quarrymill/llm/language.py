@@ -197,7 +197,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 keep += own[np.unique(np.linspace(0, len(own) - 1, SAMPLE_WINDOWS).astype(int))].tolist() if len(own) else []
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text[keep])), b.column(1).take(pa.array(text[keep])), pa.array([x[k].tobytes() for k in keep], pa.binary())], ["doc_id", "lang", "bytes"])
 
-    rows = texts.mapInArrow(task, "doc_id long, lang string, bytes binary").orderBy("doc_id", "bytes").collect()
+    rows = texts.mapInArrow(common.lean(task), "doc_id long, lang string, bytes binary").orderBy("doc_id", "bytes").collect()
     names = sorted({r["lang"] for r in rows})
     if not names:
         return Model([], None)
@@ -228,7 +228,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 names, score = [NO_LETTER] * b.num_rows, np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return rows.mapInArrow(task, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(common.lean(task), "doc_id long, lang_pred string, score double")
 
 
 def op3_language(spark, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return common.id_text(docs, id_col, text_col).mapInArrow(task, PIECES)
+    return common.id_text(docs, id_col, text_col).mapInArrow(common.lean(task), PIECES)
 
 
 def patterns(count: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
@@ -151,7 +151,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             at = rows[np.searchsorted(keys, length << 40 | rank, side="right") - 1] if len(rows) else np.zeros((0, 4), np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(at[:, 2] + rank - at[:, 1]), pa.array(at[:, 3].copy())], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return numbered(made, histogram).mapInArrow(task, f"{PIECES}, sequence_id long, offset long")
+    return numbered(made, histogram).mapInArrow(common.lean(task), f"{PIECES}, sequence_id long, offset long")
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

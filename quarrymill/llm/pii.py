@@ -216,7 +216,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             spans = [[{"kind": s[2], "start": s[0], "end": s[3]} for s in find(t)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    return common.id_text(docs, id_col, text_col).mapInArrow(task, SPANS)
+    return common.id_text(docs, id_col, text_col).mapInArrow(common.lean(task), SPANS)
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,7 +248,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             columns[at] = pa.array([clean(t) for t in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.mapInArrow(common.lean(task), docs.schema)
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:

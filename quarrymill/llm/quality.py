@@ -76,7 +76,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for b in it:
             yield pa.RecordBatch.from_arrays([b.column(0), *figures(b.column(1))], ["doc_id", *COUNTS])
 
-    return common.id_text(docs, id_col, text_col).mapInArrow(task, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return common.id_text(docs, id_col, text_col).mapInArrow(common.lean(task), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def base_failed() -> Column:
@@ -169,7 +169,7 @@ def kept_rows(docs: DataFrame, text_col: str = "text", keep: float = KEEP) -> Da
             yield pa.RecordBatch.from_arrays([*b.columns, *figures(b.column(at).cast(pa.string()).fill_null(""))], [*cells, *COUNTS])
 
     schema = StructType([*rows.schema.fields, *(StructField(c, LongType()) for c in COUNTS)])
-    return verdicts(rows.mapInArrow(task, schema), keep).filter("kept").select(cells).toDF(*docs.columns)
+    return verdicts(rows.mapInArrow(common.lean(task), schema), keep).filter("kept").select(cells).toDF(*docs.columns)
 
 
 def verdicts(rows: DataFrame, keep: float) -> DataFrame:

@@ -109,7 +109,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 out.close()
 
     dealt = common.id_text(docs, id_col, text_col).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    common.write_once(dealt.mapInArrow(task, INDEX), f"{path}/index")
+    common.write_once(dealt.mapInArrow(common.lean(task), INDEX), f"{path}/index")
     return spark.read.schema(INDEX).parquet(f"{path}/index")
 
 
@@ -143,7 +143,7 @@ def read(spark: SparkSession, path: str, index: DataFrame | None = None, packed:
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), lists], ["doc_id", "start", "ids"])
 
     common.ship(spark)
-    return rows.mapInArrow(task, f"doc_id long, start long, ids {'binary' if packed else 'array<int>'}")
+    return rows.mapInArrow(common.lean(task), f"doc_id long, start long, ids {'binary' if packed else 'array<int>'}")
 
 
 def task_pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def task_pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(records: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of what read() returns, arrays or packed; packed ids need no Python."""
     if records.schema["ids"].dataType.typeName() == "array":
-        records = records.mapInArrow(task_pack, "doc_id long, start long, ids binary")
+        records = records.mapInArrow(common.lean(task_pack), "doc_id long, start long, ids binary")
     return records.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 

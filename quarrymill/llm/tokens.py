@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +48,19 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.plain, self.marked = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.mark, self.mark_id = next((t.content, i) for i, t in sorted(self.plain.get_added_tokens_decoder().items(), reverse=True))
+        self.path, self.marked = path, Tokenizer.from_file(path)
+        self.mark, self.mark_id = next((t.content, i) for i, t in sorted(self.marked.get_added_tokens_decoder().items(), reverse=True))
         self.forget()
 
+    @cached_property
+    def plain(self):
+        """The tokenizer to which special tokens' strings in a text are ordinary text."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.chars = 0
@@ -66,7 +74,8 @@ class Encoder:
         cuts = np.flatnonzero(ids == self.mark_id)
         parts = [ids[a:b] for a, b in zip(np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(ids)])), strict=True)] if safe else []
         assert len(parts) == len(safe), "a unit encodes to the mark"
-        parts += [np.array(e.ids, np.uint32) for e in self.plain.encode_batch(odd, add_special_tokens=False)]
+        if odd:
+            parts += [np.array(e.ids, np.uint32) for e in self.plain.encode_batch(odd, add_special_tokens=False)]
         more = np.concatenate(parts)
         while self.used + len(more) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))

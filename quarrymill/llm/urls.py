@@ -105,7 +105,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, "p_block"])
 
     parts = pages.select(pages[id_col].cast("long").alias("page_id"), host_of(pages[url_col].cast("string")).alias("host"), path_of(pages[url_col].cast("string")).alias("path"))
-    scored = parts.mapInArrow(task, "page_id long, host string, path string, p_block double")
+    scored = parts.mapInArrow(common.lean(task), "page_id long, host string, path string, p_block double")
     got = scored.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
     model = F.when(F.col("p_block") >= block_at, "block").otherwise("allow")
     return got.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", model).alias("verdict"), "p_block")

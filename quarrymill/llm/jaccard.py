@@ -537,7 +537,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num
     common.small_batches(spark)
     cuts, ratio = common.Cuts(spark), (numerator, denominator)
     docs = common.id_text(docs, id_col, text_col)
-    made = common.cut(docs.mapInArrow(common.lean(task_sets(Bands(*ratio))), SETS), "sets")
+    made = cuts(docs.mapInArrow(common.lean(task_sets(Bands(*ratio))), SETS), "sets")
     sets = made.filter("n is not null")
     classes = sets.filter("h is not null").groupBy("h", "p").agg(F.min("doc_id").alias("first"), F.min("need").alias("need"), F.min(F.when(F.col("keys").isNotNull(), F.col("row"))).alias("row"))
     # two sets with one h, of 64 bits, are told apart by p
@@ -554,7 +554,8 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num
     asked = shared.groupBy("h").agg(F.sum("keys").alias("keys")).join(classes, "h").filter("keys >= need").drop("keys")
     profile = cuts(asked.join(sets.select("row", "n", "sketch"), "row").select("h", "p", F.col("first").alias("doc_id"), "node", "n", "sketch"), "profile")
     bundles = cuts(shared.join(profile.select("h", "node"), "h").select("bundle", "node"), "bundles")
-    cuts.drop(shared)
+    sizes = common.cut(sets.select("doc_id", "n", "h", "p"), "sizes")
+    cuts.drop(shared, made)  # the keys have done their work
     first = cuts(pieces(bundles, profile, None, 1, False).mapInArrow(common.lean(task_pairs(*ratio, False)), "a long, b long").distinct(), "pairs")
     left = bundles.join(first.filter("b is null").select(F.col("a").alias("bundle")).union(bundles.groupBy("bundle").count().filter(F.col("count") > BLOCK).select("bundle")).distinct(), "bundle", "left_semi")
     left = cuts(left, "left")
@@ -577,7 +578,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num
     least = least.join(classes.select(F.col("node").alias("component"), F.col("first").alias("own")), "component").select("component", F.least("least", "own").alias("component_id"))
     known = label.union(label.select("component", "component").distinct()).toDF("node", "component").join(least, "component").select("node", "component_id")
     known = classes.join(known, "node", "left").select("h", "p", F.coalesce("component_id", "first").alias("component_id"))
-    out = sets.join(known, ["h", "p"], "left")
+    out = sizes.join(known, ["h", "p"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("h").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

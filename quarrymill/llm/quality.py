@@ -149,7 +149,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     small table. kept is false where base_failed, else posterior >= keep. An empty or null text fails; an empty table gives an
     empty result; repeated rows are judged alike; other columns aren't read.
     """
-    got = verdicts(features(docs, id_col, text_col), keep)
+    seen = common.cut(features(docs, id_col, text_col).withColumn("pattern", pattern()), "quality")
+    got = verdicts(seen, posteriors(seen), keep)
     return got.select("doc_id", *COUNTS, "base_failed", "posterior", "kept")
 
 
@@ -157,7 +158,7 @@ def kept_rows(docs: DataFrame, text_col: str = "text", keep: float = KEEP) -> Da
     """The rows of docs that judge keeps, with all their columns.
 
     A row carries its own verdict and no id is read: rows with a null id are judged as others are, and of rows that share an id each
-    stays or goes by its own text.
+    stays or goes by its own text. Texts are read twice, for the rules' accuracies and for the verdicts, rather than written between.
     """
     common.ship(docs.sparkSession)
     common.small_batches(docs.sparkSession)
@@ -169,25 +170,29 @@ def kept_rows(docs: DataFrame, text_col: str = "text", keep: float = KEEP) -> Da
             yield pa.RecordBatch.from_arrays([*b.columns, *figures(b.column(at).cast(pa.string()).fill_null(""))], [*cells, *COUNTS])
 
     schema = StructType([*rows.schema.fields, *(StructField(c, LongType()) for c in COUNTS)])
-    return verdicts(rows.mapInArrow(common.lean(task), schema), keep).filter("kept").select(cells).toDF(*docs.columns)
+    scores = posteriors(features(rows.withColumn("id", F.lit(0)), "id", cells[at]).select(pattern().alias("pattern")))
+    return verdicts(rows.mapInArrow(common.lean(task), schema).withColumn("pattern", pattern()), scores, keep).filter("kept").select(cells).toDF(*docs.columns)
 
 
-def verdicts(rows: DataFrame, keep: float) -> DataFrame:
-    """rows, which have the figures of COUNTS, with base_failed, posterior and kept."""
-    spark = rows.sparkSession
-    rules = votes()
-    code = sum(((v + 1) * 3**k for k, v in enumerate(rules.values())), F.lit(0)).cast("int")
-    seen = common.cut(rows.withColumn("pattern", code), "quality")
-    found = seen.groupBy("pattern").count().collect()
-    table = {}
+def pattern() -> Column:
+    """All votes as one number."""
+    return sum(((v + 1) * 3**k for k, v in enumerate(votes().values())), F.lit(0)).cast("int")
+
+
+def posteriors(seen: DataFrame) -> DataFrame:
+    """pattern and posterior of the vote patterns in seen: a row a pattern."""
+    rules, found, table = len(votes()), seen.groupBy("pattern").count().collect(), {}
     if found:
         codes = np.array([r["pattern"] for r in found])
-        patterns = np.stack([codes // 3**k % 3 - 1 for k in range(len(rules))], 1)
-        weight = np.array([r["count"] for r in found], float)
-        p, good = fit(patterns, weight)
+        patterns = np.stack([codes // 3**k % 3 - 1 for k in range(rules)], 1)
+        p, good = fit(patterns, np.array([r["count"] for r in found], float))
         table = dict(zip(codes.tolist(), posterior(patterns, p, good).round(9).tolist(), strict=True))
-    scores = spark.createDataFrame([(k, v) for k, v in table.items()], "pattern int, posterior double")
-    return seen.join(F.broadcast(scores), "pattern").withColumns({"base_failed": base_failed(), "kept": ~base_failed() & (F.col("posterior") >= keep)})
+    return seen.sparkSession.createDataFrame([(k, v) for k, v in table.items()], "pattern int, posterior double")
+
+
+def verdicts(rows: DataFrame, scores: DataFrame, keep: float) -> DataFrame:
+    """rows, which have the figures of COUNTS and their pattern, with base_failed, posterior and kept."""
+    return rows.join(F.broadcast(scores), "pattern").withColumns({"base_failed": base_failed(), "kept": ~base_failed() & (F.col("posterior") >= keep)})
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

@@ -291,6 +291,28 @@ def test_urls_licenses_and_chat(spark):
     assert seen["bob"].text[a:b] == "yo<|end|>\n"
 
 
+def test_url_model_on_urls_it_has_not_seen():
+    good = """https://gov.uk/tax https://nature.com/articles/1 https://en.wikipedia.org/wiki/Cat https://www.esa.int/Science https://spark.apache.org/docs/latest
+        https://www.oxfam.org/en/about https://lists.debian.org/archives http://old-mill.org/visit https://www.reuters.com/world/europe https://music-school.net/de/kurse""".split()
+    bad = """http://cheap-viagra-pills.top/buy https://casino-bonus-slots.win/spin http://adult-xxx-cams.club/live https://free-prize-claim.click/win http://keygen-crack-warez.cc/setup.exe
+        http://seo-link-spam.biz/backlinks https://fast-payday-cash.top/loan http://replica-watches-sale.shop/cheap""".split()
+    w, bias = urls.train()
+
+    def p(u):
+        g = urls.grams(*urls.split(u))
+        return 1 / (1 + np.exp(-(w[g].sum() / max(len(g), 1) ** 0.5 + bias)))
+
+    assert [u for u in good if p(u) >= urls.BLOCK_AT] == [] and p("") < urls.BLOCK_AT
+    assert len([u for u in bad if p(u) >= urls.BLOCK_AT]) >= 7
+
+
+def test_url_parts_equal_the_columns(spark):
+    r = random.Random(6)
+    rows = [(k, "".join(r.choice(("://", "/", "?", "#", "A", "b", "é", ".", "\n")) for _ in range(r.randint(0, 12)))) for k in range(400)] + [(400, None)]
+    got = {x.page_id: (x.host, x.path) for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {k: urls.split(u or "") for k, u in rows} and urls.judge(spark.createDataFrame(rows[:0], "page_id long, url string")).count() == 0
+
+
 def test_language_holds_out(spark):
     r = random.Random(1)
     make = lambda s: " ".join("".join(r.choice(s) for _ in range(r.randint(2, 7))) for _ in range(30))

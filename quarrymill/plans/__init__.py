@@ -1 +1 @@
-from . import catalog, details, service  # noqa: F401  the latter two add to the catalog's queries
+from . import catalog, details, extraction, service  # noqa: F401  the latter three add to the catalog's queries

@@ -1,13 +1,14 @@
 """Operators on small fixtures."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarrymill import sources, streaming
-from quarrymill.functions import fulltext, kinds, ontology, text
-from quarrymill.operators import chunking, graph, recall, search, store
+from quarrymill.functions import extraction, fulltext, kinds, ontology, text
+from quarrymill.operators import chunking, citations, graph, recall, search, store
 from quarrymill.plans import service
 
 
@@ -152,3 +153,41 @@ def test_streams_of_activity_and_repeats(spark, tmp_path):
     q = streaming.activity(streaming.read_events(spark, f"{tmp_path}/in", rows.schema)).writeStream.format("memory").queryName("daily").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(str(r.start), r.event_type, r.n, r.value) for r in spark.table("daily").collect()] == [("2024-01-01 00:00:00", "a", 3, 5.0)]
+
+
+def test_names_are_cleaned_and_rated(spark):
+    names = ["“Acme Group”", "下载文件", "Excel", "12.5", "一个很长的名字", "report.pdf", "评审系统", "Acme Group", "AI", "", "A1", "材料"]
+    df = spark.createDataFrame([(1, names), (2, []), (3, None)], "id long, names array<string>")
+    got = {r.id: r.e for r in df.select("id", extraction.clean_entities(F.col("names"), F.lit(True)).alias("e")).collect()}
+    assert [(e.name, e.kind, e.score) for e in got[1]] == [("评审系统", "product", 24), ("Acme Group", "organization", 12), ("文件下载", "subject", 10)] and got[2] == [] and got[3] is None
+    kept = df.filter("id = 1").select(extraction.clean_entities(F.col("names"), F.lit(True), F.array(F.lit("材料"))).alias("e")).first().e
+    assert (kept[0].name, kept[0].score) == ("材料", 112)
+
+
+def test_mentions_come_from_capitals_quotes_and_endings(spark):
+    df = spark.createDataFrame([('The Red Widget met "old bolt" in 腾云平台 and The Red Widget',), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(extraction.mentions(F.col("t"))).collect()] == [["The Red Widget", "old bolt", "腾云平台"], [], None]
+
+
+def test_texts_are_cut_at_sentences(spark):
+    long, han = "a" * 200 + ". " + "b" * 100 + "! " + "c" * 90 + ".", "一" * 100 + "。" + "二" * 70 + "。" + "三" * 20 + "。"
+    df = spark.createDataFrame([(" Hi there. More? ",), (long,), (han,), ("x" * 400,), ("",), (None,)], "t string")
+    got = [tuple(r) for r in df.select(extraction.first_sentence(F.col("t")), extraction.concise(F.col("t"), kinds.mostly_han(F.col("t")))).collect()]
+    assert got == [
+        ("Hi there.", "Hi there. More?"), ("a" * 120, "a" * 200 + ". " + "b" * 100 + "!"), (han[:120], han[:172]), ("x" * 120, "x" * 359 + "…"), ("", ""), (None, None),
+    ]
+    df = spark.createDataFrame([("four plain latin words",), ("一二三四五六七八",), ("",)], "t string")
+    assert [tuple(r) for r in df.select(extraction.drifts(F.col("t"), F.lit(True)), extraction.drifts(F.col("t"), F.lit(False))).collect()] == [(True, False), (False, True), (False, False)]
+
+
+def test_citations_take_whole_sections_of_searches_that_succeeded(spark):
+    section = lambda k, content="x": {"chunkId": k, "sourceId": "s", "content": content}
+    call = lambda n, *sections, tool="search", status="SUCCEEDED": (1, n, tool, status, f"q{n}", json.dumps({"sections": list(sections)}))
+    rows = [
+        call(1, section("a"), section("b", " ")), call(2, section("z"), status="FAILED"), call(3, section("y"), tool="other"), (1, 4, "search", "SUCCEEDED", "q", "no json"),
+        (1, 5, "search", "SUCCEEDED", "q", None), call(6, section("b", " kept "), section("a"), section("c")), call(7, *(section(k) for k in "defg")),
+    ]
+    df = spark.createDataFrame(rows, "session long, n long, tool string, status string, query string, result string")
+    got = citations.citations(df, "session", "n").orderBy("index").collect()
+    assert [(r["index"], r.chunk_id, r.content, r.query) for r in got] == [(1, "a", "x", "q1"), (2, "b", "kept", "q6"), (3, "c", "x", "q6"), (4, "d", "x", "q7"), (5, "e", "x", "q7")]
+    assert not citations.citations(df.limit(0), "session", "n").collect()

@@ -45,6 +45,11 @@ QUOTED = "[\"'“”]([^\"'“”]{2,80})[\"'“”]"
 BY_ENDING = "[一-龥A-Za-z0-9_-]{2,24}(?:公司|集团|大学|模型|系统|产品|项目|技术|平台|算法|数据库|方案)"
 
 
+def let(x: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(x), lambda v: f(v)), 1)
+
+
 def drifts(t: Column, han_input: Column) -> Column:
     """Whether a text is in another script than the one it was made from."""
     han, latin = kinds.han_count(t), F.size(F.regexp_extract_all(t, F.lit("[A-Za-z]{2,}"), 0))
@@ -57,9 +62,8 @@ def stripped(t: Column) -> Column:
 
 def first_sentence(t: Column, most: int = 120) -> Column:
     """Up to the first full stop, exclamation or question mark before white space, else the whole text; cut to most characters."""
-    s = stripped(t)
-    begin = F.regexp_extract(s, r"(?s)^(.*?[.!?。！？])\s", 1)
-    return F.substring(F.when(begin != "", begin).otherwise(s), 1, most)
+    begin = lambda s: let(F.regexp_extract(s, r"(?s)^(.*?[.!?。！？])\s", 1), lambda x: F.when(x != "", x).otherwise(s))
+    return F.substring(let(stripped(t), begin), 1, most)
 
 
 def concise(t: Column, han: Column) -> Column:
@@ -67,15 +71,18 @@ def concise(t: Column, han: Column) -> Column:
 
     180 characters for Han text, else 360. White space is squeezed.
     """
-    s, room = text.squeeze(t), F.when(han, 180).otherwise(360)
-    pieces = F.when(han, F.regexp_extract_all(s, F.lit("[^。！？；;]+[。！？；;]?"), 0)).otherwise(F.regexp_extract_all(s, F.lit("[^.!?;]+[.!?;]?"), 0))
-    first = F.slice(F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda x: x != ""), 1, 3)
-    upto = lambda n: F.aggregate(F.slice(first, 1, n), F.lit(0), lambda a, x: a + F.length(x))
-    fit = F.when(upto(2) > room, 1).when(upto(3) > room, 2).otherwise(3)
-    chosen = F.slice(F.when(F.size(first) > 0, first).otherwise(F.array(s)), F.lit(1), fit)
-    said = F.when(han, F.array_join(chosen, "")).otherwise(F.array_join(chosen, " "))
-    cut = F.concat(F.trim(F.substr(said, F.lit(1), room - 1)), F.lit("…"))
-    return F.when(t.isNotNull(), F.when(F.length(s) <= room, s).when(F.length(said) <= room, said).otherwise(cut))
+    def of(v: Column) -> Column:
+        s, by_han = v["s"], v["han"]
+        room = F.when(by_han, 180).otherwise(360)
+        pieces = F.when(by_han, F.regexp_extract_all(s, F.lit("[^。！？；;]+[。！？；;]?"), 0)).otherwise(F.regexp_extract_all(s, F.lit("[^.!?;]+[.!?;]?"), 0))
+        first = F.slice(F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda x: x != ""), 1, 3)
+        upto = lambda f, n: F.aggregate(F.slice(f, 1, n), F.lit(0), lambda a, x: a + F.length(x))
+        fit = lambda f: F.slice(f, F.lit(1), F.when(upto(f, 2) > room, 1).when(upto(f, 3) > room, 2).otherwise(3))
+        said = let(let(first, lambda f: F.when(F.size(f) > 0, fit(f)).otherwise(F.array(s))), lambda f: F.when(by_han, F.array_join(f, "")).otherwise(F.array_join(f, " ")))
+        cut = let(said, lambda x: F.when(F.length(x) <= room, x).otherwise(F.concat(F.trim(F.substr(x, F.lit(1), room - 1)), F.lit("…"))))
+        return F.when(F.length(s) <= room, s).otherwise(cut)
+
+    return F.when(t.isNotNull(), let(F.struct(text.squeeze(t).alias("s"), han.alias("han")), of))
 
 
 def mentions(t: Column, most: int = 12) -> Column:
@@ -87,11 +94,14 @@ def mentions(t: Column, most: int = 12) -> Column:
 
 def clean_name(name: Column) -> Column:
     """A name without marks around it; an action on an object gets its usual name; empty if nothing is left."""
+    def usual(s: Column, compact: Column) -> Column:
+        out = s
+        for pattern, to in reversed(ACTIONS):
+            out = F.when(compact.rlike(pattern), to).otherwise(out)
+        return out
+
     s = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"\s+", " "), f"^{MARKS}", ""), f"{MARKS}$", "")
-    compact, out = F.regexp_replace(s, r"\s+", ""), s
-    for pattern, to in reversed(ACTIONS):
-        out = F.when(compact.rlike(pattern), to).otherwise(out)
-    return out
+    return let(s, lambda x: let(F.regexp_replace(x, r"\s+", ""), lambda compact: usual(x, compact)))
 
 
 def is_noise(name: Column, han_input: Column) -> Column:

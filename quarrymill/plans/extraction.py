@@ -35,8 +35,8 @@ SELECT doc_id, first, {sql_concise('first')} AS summary, {sql_concise('text')} A
 def local_events(spark, d):
     """Each document as one event: its first sentence, a summary and a shortened text."""
     docs = table(spark, d, "documents").filter("text is not null")
-    first, han = extraction.first_sentence(c("text")), kinds.mostly_han(c("text"))
-    return docs.select("doc_id", first.alias("first"), extraction.concise(first, han).alias("summary"), extraction.concise(c("text"), han).alias("content"))
+    read = docs.select("doc_id", "text", extraction.first_sentence(c("text")).alias("first"), kinds.mostly_han(c("text")).alias("han"))
+    return read.select("doc_id", "first", extraction.concise(c("first"), c("han")).alias("summary"), extraction.concise(c("text"), c("han")).alias("content"))
 
 
 NOISE = " OR ".join(["length(name) NOT BETWEEN 2 AND 28", f"name IN {extraction.GENERIC}", *(f"regexp_matches(name, {quoted(p)})" for p in extraction.NO_NAME)])

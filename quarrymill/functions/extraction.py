@@ -127,8 +127,13 @@ def clean_entities(names: Column, han_input: Column, keep: Column | None = None,
 
     keep: array of names that are never noise. Null names give null; everything stays within the row.
     """
+    def of(v: Column) -> Column:
+        kept = lambda n: F.array_contains(v["wanted"], n)
+        good = F.filter(v["names"], lambda n: (n != "") & (kept(n) | ~is_noise(n, v["han"])))
+        kinded = F.transform(good, lambda n, i: F.struct(i.alias("at"), n.alias("name"), kinds.entity_type(n).alias("kind")))
+        rated = F.transform(kinded, lambda e: F.struct((-entity_score(e["kind"], e["name"], kept(e["name"]))).alias("less"), e["at"].alias("at"), e["name"].alias("name"), e["kind"].alias("kind")))
+        return F.transform(F.slice(F.array_sort(rated), 1, most), lambda e: F.struct((-e["less"]).alias("score"), e["name"].alias("name"), e["kind"].alias("kind")))
+
     wanted = F.array().cast("array<string>") if keep is None else F.transform(keep, clean_name)
-    kept = lambda n: F.array_contains(wanted, n)
-    good = F.filter(F.array_distinct(F.transform(names, clean_name)), lambda n: (n != "") & (kept(n) | ~is_noise(n, han_input)))
-    rated = F.transform(good, lambda n, i: F.struct((-entity_score(kinds.entity_type(n), n, kept(n))).alias("less"), i.alias("at"), n.alias("name"), kinds.entity_type(n).alias("kind")))
-    return F.transform(F.slice(F.array_sort(rated), 1, most), lambda e: F.struct((-e["less"]).alias("score"), e["name"].alias("name"), e["kind"].alias("kind")))
+    whole = F.struct(F.array_distinct(F.transform(names, clean_name)).alias("names"), wanted.alias("wanted"), han_input.alias("han"))
+    return let(whole, of)

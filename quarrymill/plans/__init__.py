@@ -1 +1 @@
-from . import catalog, details, extraction, service  # noqa: F401  the latter three add to the catalog's queries
+from . import catalog, details, extraction, service, composite  # noqa: F401, I001  those after the first add to the catalog's queries

@@ -299,13 +299,29 @@ def test_url_model_on_urls_it_has_not_seen():
     w, bias = urls.train()
 
     def p(u):
-        g = urls.grams(*urls.split(u))
-        return 1 / (1 + np.exp(-(w[g].sum() / max(len(g), 1) ** 0.5 + bias)))
+        return urls.p_block(*urls.split(u), w, bias)
 
     assert [u for u in good if p(u) >= urls.BLOCK_AT] == [] and p("") < urls.BLOCK_AT
     assert len([u for u in bad if p(u) >= urls.BLOCK_AT]) >= 7
 
 
+def test_url_model_blocks_whole_urls_of_bad_kinds(spark):
+    """Names the table lacks, in all the hosts and paths of ordinary pages; both error rates of held-out names."""
+    kinds = ("casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x", "poker-jackpot", "discount-viagra")
+    plain = ("ththan", "tionble", "m.therer", "blog.thernd", "garden-notes", "oak-school", "www.history-review")
+    assert not set(kinds) & set(urls.BLOCKED) and not set(plain) & set(urls.ALLOWED)
+    forms = ("http://{}.example.com/de/1523/", "https://www.{}.example.net/fr/33.html?page=2&ref=x", "http://m.{}.example.org/it/9#top", "http://{}.org", "https://{}.sites.net/" + "a/" * 3000)
+    rows = [(k, f.format(name), 1, "host", "path") for k, (name, f) in enumerate((n, f) for n in kinds + plain for f in forms)]
+    got = urls.judge(spark.createDataFrame(rows * 2, "page_id long, url string, verdict int, host string, path string"), rules=()).collect()
+    assert len(got) == 2 * len(rows)
+    verdicts = {r.page_id: r.verdict for r in got}
+    bad = [verdicts[k] for k in range(len(kinds) * len(forms))]
+    good = [verdicts[k] for k in range(len(bad), len(rows))]
+    assert bad.count("block") >= 0.9 * len(bad) and good.count("block") == 0
+    rates = urls.errors()
+    assert rates["rows"] > 100 and rates["missed"] < 0.35 and rates["wrongly_blocked"] < 0.2
+
+
 def test_url_parts_equal_the_columns(spark):
     r = random.Random(6)
     rows = [(k, "".join(r.choice(("://", "/", "?", "#", "A", "b", "é", ".", "\n")) for _ in range(r.randint(0, 12)))) for k in range(400)] + [(400, None)]

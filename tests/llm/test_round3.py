@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.llm import fingerprints, negatives, tries
+from quarrymill.llm import fingerprints, licenses, negatives, packing, tries
 
 WORDS = "amber boat cedar delta ember field grain harbor island jacket kettle lantern meadow needle orchard pepper quarry river saddle timber".split()
 
@@ -177,3 +177,81 @@ def test_negatives_in_whole_numbers_and_without_rows(spark):
     assert sorted(map(tuple, negatives.mine(table, F.col("vec_id") % 10 == 0).collect())) == plain_negatives(held, 10)
     assert negatives.mine(table.limit(0), F.col("vec_id") % 10 == 0).collect() == []
     assert negatives.mine(table, F.col("vec_id") < 0).collect() == []
+
+
+def plain_licenses(text, templates):
+    import re
+
+    from quarrymill.llm import common
+
+    words = [w for w in re.split(licenses.SEPARATOR, (text or "").translate(str.maketrans(common.UPPER, common.LOWER))) if w]
+    base, labels, damaged, score = [], set(), set(), 0.0
+    for t in templates:
+        n = len(t.words)
+        for start in range(-n, len(words)):
+            hits = [0 <= start + k < len(words) and words[start + k] == t.words[k] for k in range(n)]
+            if all(hits[t.key : t.end]):
+                labels.add(t.label)
+                base += [start] if t.base else []
+                score = max(score, sum(hits) / n)
+            elif n >= licenses.LONG and not t.base and sum(hits) / n >= licenses.MATCHED:
+                damaged.add(t.label)
+    return len(words), sorted(base), sorted({t.label for t in templates if t.base} & labels), sorted(labels), sorted(damaged), round(score, 6)
+
+
+def test_licenses_equal_a_plain_scan(spark):
+    rnd = random.Random(11)
+    templates = licenses.BASE + licenses.TEMPLATES
+    texts = [None, "", " .. ", "cc by cc by", "All rights reserved. ALL-RIGHTS reserved x"]
+    for _ in range(150):
+        words = []
+        for _ in range(rnd.randint(1, 4)):
+            own = list(rnd.choice(templates).words)
+            for _ in range(rnd.choice([0, 0, 1, 2, 4])):  # damage
+                k = rnd.randrange(len(own))
+                own[k] = rnd.choice(["spoiled", "the", "license", own[rnd.randrange(len(own))]])
+            cut = rnd.choice([0, 0, 0, rnd.randrange(len(own))])
+            words += own[cut:] + [rnd.choice(["and", "of", "zebra", "mit", "gnu"]) for _ in range(rnd.randint(0, 6))]
+        texts.append(rnd.choice([" ", ", "]).join(w.upper() if rnd.random() < 0.1 else w for w in words))
+    texts += texts[5:8]
+    docs = spark.createDataFrame([(k, t, ["x"], 1) for k, t in enumerate(texts)], "doc_id long, text string, words array<string>, spots int").repartition(3)
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert sum(bool(r.damaged) for r in got.values()) > 20 and len(got) == len(texts)
+    for k, t in enumerate(texts):
+        r = got[k]
+        assert (r.n_words, r.base, r.base_labels, r.labels, r.damaged, r.score) == plain_licenses(t, templates), t
+    assert licenses.scan(docs.limit(0)).collect() == []
+
+
+def test_packing_fit_is_close_and_places_most_pieces():
+    rnd = np.random.default_rng(4)
+    lengths = np.clip(rnd.lognormal(6, 1.0, 60_000).astype(int), 1, 2048)
+    count = np.bincount(lengths, minlength=2049)
+    found = packing.patterns(count, 2048)
+    assert all(2048 - packing.SLACK <= sum(p) <= 2048 and len(p) <= packing.DOCUMENTS + 2 and (count[list(p)] > 0).all() for p in found)
+    x, error = packing.fit(found, count.astype(float))
+    assert (x >= 0).all() and error < 0.15
+    left = count.copy()
+    used = packing.rounded(found, x, left)
+    placed = sum(len(found[k]) * n for k, n in used)
+    assert left.min() >= 0 and placed == count.sum() - left.sum() and placed > 0.6 * count.sum()
+    rows = packing.plan({n: int(c) for n, c in enumerate(count) if c})
+    ends: dict[int, int] = {}
+    for n in np.flatnonzero(count).tolist():
+        own = rows[rows[:, 0] == n]
+        ranks = np.append(own[:, 1], count[n])
+        assert ranks[0] == 0 and (np.diff(ranks) > 0).all()
+        for (_, first, sequence, _), after in zip(own.tolist(), ranks[1:].tolist(), strict=True):
+            for k in range(after - first):
+                ends[sequence + k] = ends.get(sequence + k, 0) + n
+    assert max(ends.values()) <= 2048 and len(ends) <= lengths.sum() / 2048 * 1.002 + 2
+
+
+def test_packing_splits_a_hot_id(spark):
+    rows = [(7, "one word")] * 300 + [(None, "two words more")] * 300
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("sequence_id", "offset").collect()
+    ends: dict[int, int] = {}
+    for p in packed:
+        assert p.offset == ends.get(p.sequence_id, 0)
+        ends[p.sequence_id] = p.offset + p.length
+    assert len(packed) == 600 and max(ends.values()) <= 2048 and len(ends) <= sum(p.length for p in packed) / 2048 + 2

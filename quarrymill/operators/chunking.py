@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +21,31 @@ def pieces(t: str) -> list[str]:
     return re.findall(r"\s*(?:[^\W\d_]+|\d{1,3}|[^\w\s]|_)|\s+", t)
 
 
+@cache
+def vocabulary(path: str):
+    """One vocabulary a worker."""
+    from tokenizers import Tokenizer as Vocabulary
+
+    return Vocabulary.from_file(path)
+
+
+def bpe(path: str) -> Tokenizer:
+    """The tokens of a vocabulary file of the tokenizers library, as pieces of the text; a token within a character is an empty piece."""
+
+    def split(t: str) -> list[str]:
+        ends = [e for _, e in vocabulary(path).encode(t, add_special_tokens=False).offsets]
+        ends = [max(ends[: 1], default=0), *ends[1:]]
+        last = 0
+        out = []
+        for k, e in enumerate(ends):
+            e = len(t) if k == len(ends) - 1 else max(e, last)
+            out.append(t[last:e])
+            last = e
+        return out
+
+    return split
+
+
 def sized(value: int | None, default: int, low: int, high: int) -> int:
     return max(low, min(int(default if value is None else value), high))
 
@@ -51,16 +77,16 @@ def packed(parts: list[str], joiner: str, most: int, count: Callable[[str], int]
     return [*out, joiner.join(now)] if now else out
 
 
-def forced(t: str, most: int, count: Callable[[str], int]) -> list[str]:
-    """The longest beginnings of most tokens or fewer, white space between them left out."""
-    out, t = [], t.strip()
-    while t:
-        low, high = 1, len(t)
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if count(t[:mid]) <= most else (low, mid - 1)
-        out.append(t[:low].strip())
-        t = t[low:].lstrip()
+def forced(t: str, most: int, tokenize: Tokenizer) -> list[str]:
+    """Pieces of most tokens or fewer, white space between them left out. The text is tokenized once; a piece that has more tokens on its own gives its
+    last ones to the next."""
+    tokens, out, at = tokenize(t.strip()), [], 0
+    while at < len(tokens):
+        end = min(at + most, len(tokens))
+        while len(tokenize(piece := "".join(tokens[at:end]).strip())) > most and end > at + 1:
+            end -= 1
+        out.append(piece)
+        at = end
     return [x for x in out if x]
 
 
@@ -72,7 +98,7 @@ def chunk(t: str, mode: str | None, most: int | None, overlap: int | None, token
 
     limit = sized(most, MOST_TOKENS, LEAST, MOST)
     if (mode or ("heading_strict" if most is None and overlap is None else "token")) == "heading_strict":
-        sentences = lambda x: [y for p in packed(SENTENCE.findall(x) or [x], "", limit, count, lambda s: forced(s, limit, count)) if (y := p.strip())]
+        sentences = lambda x: [y for p in packed(SENTENCE.findall(x) or [x], "", limit, count, lambda s: forced(s, limit, tokenize)) if (y := p.strip())]
         return [(h, p) for h, body in by_heading(t) for p in (packed(PARAGRAPH.split(body), "\n\n", limit, count, sentences) if count(body) > limit else [body])]
     tokens, out = tokenize(t), []
     stride = max(1, limit - sized(overlap, OVERLAP, 0, limit - 1))
@@ -92,9 +118,11 @@ def chunk_markdown(docs: DataFrame, mode: str | None = None, max_tokens: int | N
 
     mode heading_strict, the default unless a size is given: a section for each Markdown heading, in order; one of more than
     max_tokens is packed from its paragraphs, a larger paragraph from its sentences, a larger sentence cut. mode token: windows of
-    max_tokens that overlap. max_tokens is held to 64 to 8192, overlap to less than that. A null or blank text gives no rows; each
-    row is chunked within its task, without a shuffle.
+    max_tokens that overlap. max_tokens is held to 64 to 8192, overlap to less than that. A null or blank text gives no rows. Time grows with a
+    text's length, whatever its sentences are. Each row is chunked within its task; only an input of fewer files than cores is dealt out anew.
     """
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -103,6 +131,8 @@ def chunk_markdown(docs: DataFrame, mode: str | None = None, max_tokens: int | N
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)], ["doc_id", "rank", "heading", "content", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    cores = spark.sparkContext.defaultParallelism
+    rows = rows.repartition(cores) if len(docs.inputFiles()) < cores else rows
     return rows.mapInArrow(task, "doc_id long, rank int, heading string, content string, n_tokens long")
 
 

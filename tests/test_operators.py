@@ -1,6 +1,7 @@
 """Operators on small fixtures."""
 
 import json
+import os
 import random
 
 import pytest
@@ -191,3 +192,26 @@ def test_citations_take_whole_sections_of_searches_that_succeeded(spark):
     got = citations.citations(df, "session", "n").orderBy("index").collect()
     assert [(r["index"], r.chunk_id, r.content, r.query) for r in got] == [(1, "a", "x", "q1"), (2, "b", "kept", "q6"), (3, "c", "x", "q6"), (4, "d", "x", "q7"), (5, "e", "x", "q7")]
     assert not citations.citations(df.limit(0), "session", "n").collect()
+
+
+def test_long_sentences_are_cut_in_linear_time(spark):
+    import time
+
+    text = "word " * 400_000
+    began = time.time()
+    got = chunking.chunk(text, "heading_strict", 128, None, chunking.pieces)
+    assert time.time() - began < 10 and len(got) == 3125 and all(len(chunking.pieces(x)) == 128 for _, x in got)
+    assert "".join(x.replace(" ", "") for _, x in got) == "word" * 400_000
+
+
+@pytest.mark.skipif(not os.path.exists("/opt/tokenizers/byte_bpe_50k.json"), reason="no vocabulary")
+def test_chunks_by_a_vocabulary(spark):
+    from tokenizers import Tokenizer
+
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    known, split = Tokenizer.from_file(path), chunking.bpe(path)
+    for t in ("", "a", "日本語の文。 é ñ", "The quick brown fox.\n\nIt ran 12345 miles"):
+        assert "".join(split(t)) == t and len(split(t)) == len(known.encode(t, add_special_tokens=False).ids)
+    docs = spark.createDataFrame([(1, "# A\n" + "Ein längerer Satz ohne Ende " * 90), (2, None), (3, " ")], "doc_id long, text string")
+    got = chunking.chunk_markdown(docs, "heading_strict", 64, tokenize=split).collect()
+    assert len(got) > 5 and {r.doc_id for r in got} == {1} and all(r.n_tokens == len(known.encode(r.content, add_special_tokens=False).ids) <= 64 for r in got)

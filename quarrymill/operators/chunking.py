@@ -34,7 +34,6 @@ def bpe(path: str) -> Tokenizer:
 
     def split(t: str) -> list[str]:
         ends = [e for _, e in vocabulary(path).encode(t, add_special_tokens=False).offsets]
-        ends = [max(ends[: 1], default=0), *ends[1:]]
         last = 0
         out = []
         for k, e in enumerate(ends):

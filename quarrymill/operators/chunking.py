@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: Splits a text into pieces that, joined, are the text again; a text has as many tokens as pieces, one at least.
 Tokenizer = Callable[[str], list[str]]
 HEADING, PARAGRAPH, SENTENCE = re.compile(r"(#{1,6})\s+(.+)"), re.compile(r"\n{2,}"), re.compile(r"[^。！？!?；;\n]+[。！？!?；;\n]?|\n+")
@@ -121,6 +123,7 @@ def chunk_markdown(docs: DataFrame, mode: str | None = None, max_tokens: int | N
     text's length, whatever its sentences are. Each row is chunked within its task; only an input of fewer files than cores is dealt out anew.
     """
     spark = docs.sparkSession
+    shared.ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parents[1]
 _local: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def folder(spark: SparkSession) -> str:
@@ -28,3 +33,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package's code, once an application, for tasks that run its Python."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="quarrymill-"), "quarrymill.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for f in sorted(PACKAGE.rglob("*.py")):
+            out.write(f, f.relative_to(PACKAGE.parent))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)

@@ -39,7 +39,9 @@ def graph_of(spark, d) -> composite.Graph:
     )
     chunks = of(table(spark, d, "supplier").select(c("s_suppkey").alias("chunk_id"), c("s_suppkey").alias("rank")), "chunk_id", "embedding")
     bridge = lines.groupBy(c("l_orderkey").alias("event_id"), c("l_partkey").alias("entity_id")).agg(F.min("n").alias("at"))
-    return composite.Graph(entities, events, bridge, edges, chunks, lines.filter("n = 1").select(c("l_orderkey").alias("event_id"), c("l_suppkey").alias("chunk_id")))
+    event_chunks = lines.filter("n = 1").select(c("l_orderkey").alias("event_id"), c("l_suppkey").alias("chunk_id"))
+    made = {"entities": entities, "events": events, "bridge": bridge, "edges": edges, "chunks": chunks, "event_chunks": event_chunks}
+    return composite.Graph(**{name: shared.cut(rows, name) for name, rows in made.items()})  # derived once, as a store would have them
 
 
 @cache

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import extraction, kinds, ontology, relation_text, text
+from ..operators import objects
 from ..sources import table
 from .catalog import query
 from .extraction import KIND, NOISE
@@ -67,3 +68,21 @@ def local_relations(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "text", names.alias("names"))
     rows = rows.select("doc_id", F.posexplode(relation_text.extracted(c("text"), c("names"), RULES, LEAST)).alias("at", "r"))
     return rows.select("doc_id", (c("at") + 1).alias("position"), "r.subject", "r.predicate", "r.object", F.round("r.quality", 6).alias("quality"), "r.start", "r.end")
+
+
+#: Endings of Latin names, as the tables have no Han text.
+GROUPS = (objects.Group("process", "process", ("tion", "ing")), objects.Group("requirement", "requirement", ("keit", "ble")), objects.Group("data_object", "data object", ("elle", "ing")))
+ENDINGS = ", ".join(f"({n}, '{g.type}', {k}, '{e}')" for n, g in enumerate(GROUPS) for k, e in enumerate(g.endings))
+
+
+@query(rf"""
+WITH g(n, type, k, ending) AS (VALUES {ENDINGS}),
+s AS (SELECT doc_id, trim(x) AS p, i FROM (SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '\s+', ' ', 'g'), '[。！？；;，,、\n\r\t]') AS ps FROM documents))),
+t AS (SELECT doc_id, n, i, k, type, regexp_extract(regexp_extract(p, '^(.*' || ending || ')', 1), '[A-Za-z0-9_-]+$') AS token FROM s JOIN g ON contains(p, ending) WHERE length(p) BETWEEN 2 AND 40),
+m AS (SELECT *, trim(right(token, 12)) AS name FROM t),
+c AS (SELECT doc_id, type, arg_min(name, m.n * 10000000000 + i * 100 + k) AS name, count(*) AS n, min(m.n) AS place FROM m WHERE length(name) >= 2 AND regexp_matches(name, '[A-Za-z]{{3,}}') GROUP BY doc_id, type, lower(name))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, CASE WHEN length(name) BETWEEN 4 AND 12 THEN 2 ELSE 0 END DESC, name, place) AS INTEGER) AS position, name, type, n AS count FROM c QUALIFY position <= 24""")
+def domain_objects(spark, d):
+    """Things that each document names, by how their words end."""
+    found = objects.domain_objects(table(spark, d, "documents"), "doc_id", "text", groups=GROUPS)
+    return found.select(c("id").alias("doc_id"), "position", "name", "type", "count")

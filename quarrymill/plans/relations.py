@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import extraction, kinds, ontology, relation_text, text
+from ..functions import extraction, kinds, ontology, profiles, relation_text, text
 from ..operators import objects
 from ..sources import table
 from .catalog import query
@@ -86,3 +86,32 @@ def domain_objects(spark, d):
     """Things that each document names, by how their words end."""
     found = objects.domain_objects(table(spark, d, "documents"), "doc_id", "text", groups=GROUPS)
     return found.select(c("id").alias("doc_id"), "position", "name", "type", "count")
+
+
+TURN_NAMES = f"(SELECT conv_id, turn, w AS name, min(pos) AS pos FROM (SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM (SELECT conv_id, turn, regexp_extract_all(text, '{ENTITY}') AS ws FROM conversations)) GROUP BY conv_id, turn, w QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY min(pos)) <= 12)"
+
+
+@query(f"""
+WITH n AS (SELECT *, {KIND} AS type FROM {TURN_NAMES}),
+o AS (SELECT conv_id, name, type, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS i FROM n WHERE turn = (SELECT min(turn) FROM conversations c WHERE c.conv_id = n.conv_id)),
+m AS (SELECT c.conv_id, c.turn, name, type, i FROM conversations c JOIN o USING (conv_id) WHERE contains(text, name) OR contains(text, lower(name)) QUALIFY row_number() OVER (PARTITION BY c.conv_id, c.turn, type, lower(name) ORDER BY i) = 1),
+w AS (SELECT conv_id, turn, name, type, pos, EXISTS (SELECT 1 FROM m WHERE m.conv_id = n.conv_id AND m.turn = n.turn) AS led, EXISTS (SELECT 1 FROM m WHERE m.conv_id = n.conv_id AND m.turn = n.turn AND m.type = n.type AND lower(m.name) = lower(n.name)) AS known FROM n),
+s AS (SELECT * FROM w WHERE led AND NOT known AND type NOT IN ('subject', 'metric', 'product') AND regexp_matches(name, '(tion|ing|er)$') QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) <= 3),
+e AS (SELECT conv_id, turn, name, i AS x FROM m UNION ALL SELECT conv_id, turn, name, 1000 + pos FROM s UNION ALL SELECT conv_id, turn, name, pos FROM w WHERE NOT led),
+r AS (SELECT c.conv_id, c.turn, a.i, a.name || '>' || b.name AS r FROM conversations c JOIN o a USING (conv_id) JOIN o b ON b.conv_id = a.conv_id AND b.i = a.i + 1
+  WHERE (c.conv_id, c.turn, a.name) IN (SELECT (conv_id, turn, name) FROM e) AND (c.conv_id, c.turn, b.name) IN (SELECT (conv_id, turn, name) FROM e)),
+en AS (SELECT conv_id, turn, string_agg(name, '|' ORDER BY x) AS entities FROM e GROUP BY 1, 2),
+rn AS (SELECT conv_id, turn, string_agg(r, '|' ORDER BY i) AS relations FROM r GROUP BY 1, 2)
+SELECT conv_id, turn, coalesce(entities, '') AS entities, coalesce(relations, '') AS relations FROM conversations LEFT JOIN en USING (conv_id, turn) LEFT JOIN rn USING (conv_id, turn)""")
+def profiled_events(spark, d):
+    """Turns as events of their conversation: which objects of its first turn each names, what else supports them, and the profile's relations that hold."""
+    named = F.transform(text.named_entities(c("text"), 12), lambda n: F.struct(n.alias("name"), kinds.entity_type(n).alias("type"), F.lit("").alias("description")))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text", named.alias("own"))
+    profile = turns.groupBy("conv_id").agg(F.min_by("own", "turn").alias("first"))  # one row a conversation
+    objects_ = F.transform("first", lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"), x["description"].alias("description"), F.array(F.lower(x["name"])).alias("aliases")))
+    pairs = F.transform(F.slice("first", F.lit(1), F.greatest(F.size("first") - 1, F.lit(0))), lambda x, i: F.struct(x["name"].alias("source"), F.get(c("first"), i + 1)["name"].alias("target")))
+    rows = turns.join(profile.select("conv_id", objects_.alias("objects"), pairs.alias("pairs")), "conv_id")
+    rows = rows.withColumn("found", profiles.entities(c("text"), c("objects"), c("own"), "(tion|ing|er)$"))
+    names = F.array_join(F.transform("found", lambda x: x["name"]), "|")
+    held = F.array_join(F.transform(profiles.relations_for(c("pairs"), c("found")), lambda r: F.concat(r["source"], F.lit(">"), r["target"])), "|")
+    return rows.select("conv_id", "turn", names.alias("entities"), held.alias("relations"))

@@ -153,7 +153,8 @@ def cut_up(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start = np.repeat(at[:-1], many) + WINDOW * (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many))
     place = start[:, None] + np.arange(WINDOW)
     inside = place < at[1:][text][:, None]
-    return np.where(inside, data[np.minimum(place, max(len(data) - 1, 0))] if len(data) else 0, PAD).astype(np.int16), text
+    found = data[np.minimum(place, max(len(data) - 1, 0))].astype(np.int16) if len(data) else np.zeros(place.shape, np.int16)  # PAD is no byte
+    return np.where(inside, found, np.int16(PAD)), text
 
 
 class Model:

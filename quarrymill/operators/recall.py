@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fulltext, relations, text
+from . import graph
 
 
 def name_match(rows: DataFrame, names: list[str], name_col: str, id_col: str, k: int) -> DataFrame:
@@ -83,8 +84,7 @@ def paths_both_ways(edges: DataFrame, seeds: DataFrame, depth: int, limit: int)
     from that edge's object. Score as for paths; ties by the edges' ids.
     """
     step = F.struct("edge_id", "confidence", "quality", "strength")
-    seed = F.broadcast(seeds.select(F.col("node").alias("seed")).distinct())
-    at_seed = edges.join(seed, (F.col("subject") == F.col("seed")) | (F.col("object") == F.col("seed")), "left_semi")
+    at_seed = graph.edges_at(edges, seeds.select("node").distinct(), "subject", "object")
     now = at_seed.select(F.array("subject", "object").alias("nodes"), F.array(step).alias("steps"))
     more = edges.filter(F.col("reasoning") & (F.col("kind") != "RELATED_TO"))
     there = more.select(F.col("subject").alias("tail"), F.col("object").alias("head"), step.alias("step"))

@@ -105,3 +105,27 @@ def edges_at(edges: DataFrame, nodes: DataFrame, subject: str, object_: str) ->
     left = edges.join(nodes.select(F.col("node").alias(subject)), subject, "left_semi").select(edges.columns)
     right = edges.join(nodes.select(F.col("node").alias(object_)), object_, "left_semi").select(edges.columns)
     return left.union(right).distinct()
+
+
+# fixed values: names of what proves a requirement
+PROOF = "材料|扫描件|附件|承诺函|证明"
+
+
+def aligned_edges(requirements: DataFrame, materials: DataFrame, known: DataFrame, proof: str = PROOF) -> DataFrame:
+    """New edges from a material's subject to a requirement's: source, subject, kind, object, confidence, quality, evidence, r_edge and m_edge.
+
+    Both sides have source, edge_id, subject, subject_name, object, kind, evidence and confidence. A pair that align finds is PROVES where the material
+    edge is or its subject's name tells so, else SATISFIES. Triples among known (subject, kind, object) are left out; of pairs with one triple in a source the first counts, by
+    requirement, then by material. Evidence is both sides' texts, 500 characters at most; its quality is scored like an extracted relation's.
+    """
+    r = requirements.select(F.col("edge_id").alias("r_edge"), F.col("subject_name").alias("r_name"), F.col("evidence").alias("r_said"))
+    m = materials.select(F.col("edge_id").alias("m_edge"), F.col("subject_name").alias("m_name"), F.col("evidence").alias("m_said"), F.col("kind").alias("m_kind"))
+    pairs = align(requirements, materials).select("source", "r_edge", "m_edge", "r_subject", "m_subject", "confidence").join(r, "r_edge").join(m, "m_edge")
+    kind = F.when((F.col("m_kind") == "PROVES") | F.col("m_name").rlike(proof), "PROVES").otherwise("SATISFIES")
+    said = F.substring(F.array_join(F.filter(F.array("m_said", "r_said"), lambda x: x != ""), " / "), 1, 500)
+    pairs = pairs.select("source", F.col("m_subject").alias("subject"), kind.alias("kind"), F.col("r_subject").alias("object"), "r_edge", "m_edge", "m_name", "r_name", "confidence", said.alias("evidence"))
+    new = pairs.join(known.select("subject", "kind", "object").distinct(), ["subject", "kind", "object"], "left_anti")
+    first = new.groupBy("source", "subject", "kind", "object").agg(F.min_by(F.struct("r_edge", "m_edge", "m_name", "r_name", "confidence", "evidence"), F.struct("r_edge", "m_edge")).alias("x")).select("source", "subject", "kind", "object", "x.*")
+    mentions = F.col("evidence").contains(F.col("m_name")) & F.col("evidence").contains(F.col("r_name"))
+    quality = relations.relation_score(F.col("confidence"), F.lit(True), F.lit(True), F.col("evidence"), F.coalesce(mentions, F.lit(False)), F.lit("AUTO"), F.lit(False))
+    return first.select("source", "subject", "kind", "object", "confidence", quality.alias("quality"), "evidence", "r_edge", "m_edge")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import extraction, kinds, ontology, profiles, relation_text, text
-from ..operators import objects
+from ..operators import graph, objects
 from ..sources import table
 from .catalog import query
 from .extraction import KIND, NOISE
@@ -115,3 +115,21 @@ def profiled_events(spark, d):
     names = F.array_join(F.transform("found", lambda x: x["name"]), "|")
     held = F.array_join(F.transform(profiles.relations_for(c("pairs"), c("found")), lambda r: F.concat(r["source"], F.lit(">"), r["target"])), "|")
     return rows.select("conv_id", "turn", names.alias("entities"), held.alias("relations"))
+
+
+@query(f"""
+WITH e AS (SELECT p_partkey AS id, p_brand AS source, p_size AS s, 'lot ' || p_size AS sn, lower(p_name) AS o, CASE WHEN p_type = 'PROMO' THEN 'PROVES' ELSE 'HOLDS' END AS kind, p_name || ' of lot ' || p_size AS said, 0.5 + p_size / 100 AS c, coalesce(p_type IN ('SMALL', 'MEDIUM', 'LARGE'), false) AS required FROM part),
+p AS (SELECT r.source, m.s AS subject, CASE WHEN m.kind = 'PROVES' OR contains(m.sn, '7') THEN 'PROVES' ELSE 'SATISFIES' END AS kind, r.s AS object, r.id AS r_edge, m.id AS m_edge, greatest(0.5, 0.86 * least(r.c, m.c)) AS confidence, m.said || ' / ' || r.said AS evidence, m.sn AS mn, r.sn AS rn
+  FROM e r JOIN e m ON r.source = m.source AND r.required AND NOT m.required AND r.s <> m.s AND r.id <> m.id AND (r.o = m.o OR contains(r.o, m.o) OR contains(m.o, r.o))),
+n AS (SELECT * FROM p WHERE (subject, kind, object) NOT IN (SELECT (p_size, 'SATISFIES', p_size + 1) FROM part) QUALIFY row_number() OVER (PARTITION BY source, subject, kind, object ORDER BY r_edge, m_edge) = 1)
+SELECT source, subject, kind, object, round(confidence, 6) AS confidence, round(greatest(0, least(1, confidence + 0.12 + 0.06 + CASE WHEN length(evidence) >= 8 THEN 0.08 ELSE -0.25 END + CASE WHEN contains(evidence, mn) AND contains(evidence, rn) THEN 0.06 ELSE 0 END)), 6) AS quality, evidence, r_edge, m_edge FROM n""")
+def alignment_edges(spark, d):
+    """New edges that alignments of parts give: PROVES or SATISFIES, with evidence; known triples are left out."""
+    part = table(spark, d, "part")
+    edges = part.select(
+        c("p_partkey").alias("edge_id"), c("p_brand").alias("source"), c("p_size").alias("subject"), F.concat(F.lit("lot "), c("p_size").cast("string")).alias("subject_name"), c("p_name").alias("object"), F.when(c("p_type") == "PROMO", "PROVES").otherwise("HOLDS").alias("kind"),
+        F.concat("p_name", F.lit(" of lot "), c("p_size").cast("string")).alias("evidence"), (0.5 + c("p_size") / 100).alias("confidence"), F.coalesce(c("p_type").isin("SMALL", "MEDIUM", "LARGE"), F.lit(False)).alias("required"),
+    )
+    known = part.select(c("p_size").alias("subject"), F.lit("SATISFIES").alias("kind"), (c("p_size") + 1).alias("object"))
+    got = graph.aligned_edges(edges.filter("required"), edges.filter("not required"), known, "7")
+    return got.withColumns({"confidence": F.round("confidence", 6), "quality": F.round("quality", 6)})

@@ -39,8 +39,12 @@ class Options:
     event_top: int = 20
     key_similarity: float = 0.9
     similarity: float = 0.4
+    strategy: str = "multi"
     hops: int = 1
     events: int = 100
+    first_events: int = 100
+    later_events: int = 0
+    retries: int = 3
     rerank_top: int = MOST_RESULTS
     sections: int = MOST_RESULTS
     kinds: tuple[str, ...] = ()
@@ -198,6 +202,40 @@ def expanded(graph: Graph, seeds: DataFrame, entities: DataFrame, hops: int) ->
     return out
 
 
+def until(graph: Graph, start: DataFrame, met: DataFrame, seen: DataFrame, target: int, retries: int) -> DataFrame:
+    """Live events reached from start over entities not in met, hop by hop, until so many are found or so many hops done; whole hops, without those in seen."""
+    out = start.limit(0).select("event_id")
+    found = 0
+    for _ in range(retries if target > 0 else 0):
+        new = shared.cut(graph.bridge.join(start, "event_id", "left_semi").select("entity_id").distinct().join(met, "entity_id", "left_anti"), "new-entities")
+        start = shared.cut(events_of(graph, new).join(seen, "event_id", "left_anti").join(out, "event_id", "left_anti"), "new-events")
+        met, out = met.unionByName(new), out.unionByName(start)
+        more = start.count()
+        found += more
+        if not more or found >= target:
+            break
+    return out
+
+
+def expansions(graph: Graph, seeds: DataFrame, entities: DataFrame, query: list[float], o: Options) -> tuple[DataFrame, DataFrame | None]:
+    """Events reached from the seeds by a strategy, and those of its second part.
+
+    multi: all events within o.hops. hop: one hop, then on until o.later_events are found. hopllm: the second part starts anew from the o.first_events
+    best contents among the seeds and the first hop.
+    """
+    if o.strategy == "multi":
+        return expanded(graph, seeds, entities, o.hops), None
+    if o.strategy not in ("hop", "hopllm"):
+        raise ValueError(f"unknown strategy {o.strategy!r}")
+    met = entities.select("entity_id")
+    new = shared.cut(graph.bridge.join(seeds, "event_id", "left_semi").select("entity_id").distinct().join(met, "entity_id", "left_anti"), "first-entities")
+    one = shared.cut(events_of(graph, new).join(seeds, "event_id", "left_anti"), "first-events")
+    start = one
+    if o.strategy == "hopllm":
+        start = shared.cut(coarse(graph, seeds.unionByName(one), query, o.first_events).select("event_id"), "seeds-anew")
+    return one, until(graph, start, met.unionByName(new), seeds.unionByName(one), o.later_events, o.retries)
+
+
 def coarse(graph: Graph, events: DataFrame, query: list[float], most: int) -> DataFrame:
     rows = graph.events.filter("content_vector is not null").join(events, "event_id", "left_semi")
     return numbered(rows.withColumn("score", vector.cosine(c("content_vector"), F.array(*map(F.lit, query)))), F.desc("score"), "event_id", most=most).select("event_id", "text", "score", "rank")
@@ -301,8 +339,16 @@ def multi_search(graph: Graph, query: str, query_vector: list[float], mode: str
     inferred = first.groupBy("entity_id").agg(F.min(F.struct("rank", "at")).alias("x"))
     inferred = numbered(inferred, "x.rank", "x.at", "entity_id", most=min(o.entity_top, SEED_ENTITIES)).join(graph.entities, "entity_id").select("entity_id", "name", "type", F.lit(1.0).alias("score"), "rank")
     entities = trail("entities_used", recall.or_else(entities, inferred))
-    reached = trail("expanded_events", expanded(graph, seeds, entities, o.hops))
-    ranked = trail("coarse_events", coarse(graph, seeds.unionByName(reached).distinct(), query_vector, o.events))
+    one, two = expansions(graph, seeds, entities, query_vector, o)
+    reached = trail("expanded_events", one if two is None else one.unionByName(two))
+    if two is None:
+        ranked = coarse(graph, seeds.unionByName(reached).distinct(), query_vector, o.events)
+    else:  # the second part has a rank of its own, behind the first's
+        ranked = coarse(graph, seeds.unionByName(one).distinct(), query_vector, o.first_events)
+        if o.later_events > 0:
+            later = coarse(graph, two, query_vector, o.later_events)
+            ranked = ranked.unionByName(later.withColumn("rank", c("rank") + o.first_events))
+    ranked = trail("coarse_events", ranked)
     again = search.lexical_rerank if mode == "fast" else search.keyword_rerank
     selected = again(ranked, query, "text", "score", "event_id", max(1, min(o.rerank_top, MOST_RESULTS)))
     selected = trail("selected_events", selected.select("event_id", F.row_number().over(Window.orderBy(F.desc("rerank"), "event_id")).alias("position")))  # rerank_top rows

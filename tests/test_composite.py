@@ -124,3 +124,23 @@ def test_cover_density(spark):
     texts = [("red widget", 0.1), ("red big widget", 0.05), ("widget", 0.0), ("red widget and red widget", 0.1 + 0.05 + 0.1), ("", 0.0), (None, 0.0), ("red red widget", 0.1)]
     got = spark.createDataFrame(texts, "t string, want double").select("want", F.round(fulltext.cover_density(F.col("t"), "Red widget"), 6).alias("got")).collect()
     assert all(abs(r.want - r.got) < 1e-6 for r in got), got
+
+
+def test_strategies_of_expansion(spark):
+    """A chain of events 1-2-3-4-5 by shared entities: each strategy goes as far as it may, and hopllm on from the best contents only."""
+    bridge = [(k, e, 1) for k in range(1, 6) for e in (k, k + 1)]
+    g = graph(spark, bridge=bridge, events=[(k, "t", [1.0, 0.0], [1.0, float(k)]) for k in range(1, 6)])
+    seeds, none = spark.createDataFrame([(1,)], "event_id long"), spark.createDataFrame([], "entity_id long")
+
+    def run(**o):
+        one, two = composite.expansions(g, seeds, none, [0.0, 1.0], composite.Options(**o))
+        return sorted(r.event_id for r in one.collect()), None if two is None else sorted(r.event_id for r in two.collect())
+
+    assert run(strategy="multi", hops=2) == ([2, 3], None)
+    assert run(strategy="hop", later_events=2) == ([2], [3, 4]) and run(strategy="hop", later_events=9, retries=2) == ([2], [3, 4])
+    assert run(strategy="hop") == ([2], []) and run(strategy="hop", later_events=1) == ([2], [3])
+    assert run(strategy="hopllm", later_events=1, first_events=1) == ([2], [3])  # event 2 has the better content
+    with pytest.raises(ValueError):
+        run(strategy="other")
+    found = composite.multi_search(g, "zzz", [0.0, 1.0], "fast", options=composite.Options(strategy="hop", later_events=5, similarity=0.0))
+    assert found.counts["coarse_events"] == 5

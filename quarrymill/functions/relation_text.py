@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import ontology, relations
-from .extraction import let, stripped
+from .extraction import let
 
 SENTENCE = r"[^。！？.!?；;\n]*[。！？.!?；;]|[^。！？.!?；;\n]+"
 #: Characters of a sentence with both, and of one with the subject; relations of a text; confidence of a rule.
@@ -49,17 +49,20 @@ RULES = (
 
 def sentences(t: Column) -> Column:
     """Sentences in order: they end at a mark or a line's end; blank ones are left out."""
-    return F.filter(F.transform(F.regexp_extract_all(t, F.lit(SENTENCE), 0), stripped), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(t, F.lit(SENTENCE), 0), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r"))), lambda x: x != "")
 
 
 def postings(said: Column, entities: Column) -> Column:
     """Of each entity (name, type): the sentences up to BOTH characters that hold its name (`both`), and the first up to ALONE (`alone`, -1 without)."""
 
-    def places(name: Column, most: int) -> Column:
-        every = F.when(F.size(said) > 0, F.sequence(F.lit(0), F.size(said) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.filter(every, lambda k: F.get(said, k).contains(name) & (F.length(F.get(said, k)) <= most))
+    every = F.when(F.size(said) > 0, F.sequence(F.lit(0), F.size(said) - 1)).otherwise(F.array().cast("array<int>"))
 
-    return F.transform(entities, lambda e: F.struct(e["name"].alias("name"), e["type"].alias("type"), places(e["name"], BOTH).alias("both"), F.coalesce(F.get(places(e["name"], ALONE), F.lit(0)), F.lit(-1)).alias("alone")))
+    def of(e: Column, short: Column) -> Column:
+        held = F.filter(short, lambda k: F.get(said, k).contains(e["name"]))
+        alone = lambda b: F.coalesce(F.get(F.filter(b, lambda k: F.length(F.get(said, k)) <= ALONE), F.lit(0)), F.lit(-1))
+        return let(held, lambda b: F.struct(e["name"].alias("name"), e["type"].alias("type"), b.alias("both"), alone(b).alias("alone")))
+
+    return let(F.filter(every, lambda k: F.length(F.get(said, k)) <= BOTH), lambda short: F.transform(entities, lambda e: of(e, short)))
 
 
 def predicate(subject: Column, object_: Column, evidence: Column, rules: tuple[Rule, ...]) -> Column:

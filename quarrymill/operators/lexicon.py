@@ -41,13 +41,17 @@ def anchored(terms: DataFrame) -> DataFrame:
     return each.join(often, "anchor").groupBy("low").agg(F.min_by("anchor", F.struct("n", "anchor")).alias("anchor"))
 
 
+def sized(rows: DataFrame, size: int) -> DataFrame:
+    """A table for every task where a lexicon has SMALL terms at most."""
+    return F.broadcast(rows) if size <= SMALL else rows
+
+
 def hits(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
-    """id and low of every term that a text holds, letter case aside; each once. A null text holds none."""
-    anchors = anchored(lexicon)
-    anchors = F.broadcast(anchors) if lexicon.count() <= SMALL else anchors
+    """id and low of every term that a text holds, letter case aside; each once, dealt out by id. A null text holds none."""
+    anchors = sized(anchored(lexicon), lexicon.count())
     low = texts.select(c(id_col).alias("id"), F.lower(text_col).alias("_text")).filter("_text is not null")
     met = low.select("id", "_text", F.explode(pieces(c("_text"), tuple(range(1, GRAM + 1)))).alias("anchor")).join(anchors, "anchor")
-    return met.filter(F.contains("_text", "low")).select("id", "low").distinct()
+    return met.filter(F.contains("_text", "low")).select("id", "low").repartition("id").distinct()  # what follows stays with its id
 
 
 def ordered(found: DataFrame, most: int | None) -> DataFrame:
@@ -66,14 +70,15 @@ def domain_entities(texts: DataFrame, id_col: str, text_col: str, lexicon: DataF
     """
     lexicon = normalized(lexicon)
     told = c(text_col).isNotNull() & F.exists(F.array(*map(F.lit, triggers)), lambda w: F.lower(text_col).contains(F.lower(w)))
-    held = hits(texts.filter(told), id_col, text_col, lexicon).join(lexicon.withColumn("low", F.lower("term")), "low").select("id", "list", "rule", "kind", "ord", "term")
+    size = lexicon.count()
+    held = hits(texts.filter(told), id_col, text_col, lexicon).join(sized(lexicon.withColumn("low", F.lower("term")), size), "low").select("id", "list", "rule", "kind", "ord", "term")
     place = F.array_position(F.array(*map(F.lit, LISTS)), c("list")).cast("int")
     own = held.filter("list = 'canonical' or (list = 'expansion' and kind = 'term')").select("id", "term", F.struct(place.alias("list"), "rule", F.lit(1).alias("part"), "ord").alias("at"))
     rules = held.filter("list != 'canonical'").select("id", "list", "rule").distinct()
     by = Window.partitionBy("list", "rule").orderBy("ord")
     first = lexicon.filter("(list = 'expansion' and kind = 'term') or (list = 'type' and kind = 'match')").withColumn("n", F.row_number().over(by))
     first = first.filter(c("n") <= F.when(c("list") == "type", FIRST_MATCHES).otherwise(FIRST_TERMS if expansions else 0))
-    lent = rules.join(first, ["list", "rule"]).select("id", "term", F.struct(place.alias("list"), "rule", F.lit(0).alias("part"), "ord").alias("at"))
+    lent = rules.join(sized(first, size), ["list", "rule"]).select("id", "term", F.struct(place.alias("list"), "rule", F.lit(0).alias("part"), "ord").alias("at"))
     return ordered(own.unionByName(lent), MOST)
 
 

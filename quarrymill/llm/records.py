@@ -46,8 +46,9 @@ def frame(doc_id: int | None, ids: np.ndarray) -> bytes:
     width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
     raw = ids.astype(f"<u{width}").tobytes()
     small = press().compress(raw)
-    kind = width | (128 if len(small) < len(raw) else 0) | (64 if doc_id is None else 0)
-    body = struct.pack("<qB", doc_id or 0, kind) + min(small, raw, key=len)
+    pressed = len(small) < len(raw)  # the flag and the bytes follow this alone, so that equal lengths can't part them
+    kind = width | (128 if pressed else 0) | (64 if doc_id is None else 0)
+    body = struct.pack("<qB", doc_id or 0, kind) + (small if pressed else raw)
     size = struct.pack("<I", len(body))
     return size + struct.pack("<I", masked(size)) + body + struct.pack("<I", masked(body))
 
@@ -73,12 +74,13 @@ def store(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, vocabulary: str | None = None, files: int | None = None) -> DataFrame:
+def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, vocabulary: str | None = None, files: int | None = None, special: bool = False) -> DataFrame:
     """Encode docs, write record files and the index under path, and return the index.
 
     Documents are range-partitioned by doc_id, one file a partition. A null text counts as empty: the end id alone; rows with the
     same doc_id each get a record, in the order of their texts; null ids stand before all others. An empty table gives no files and
-    an empty index. path: where Spark and pyarrow's file systems both write.
+    an empty index. path: where Spark and pyarrow's file systems both write. special: a special token's string in a text is that
+    token, as the library has it unless told otherwise; else it is ordinary text.
     """
     spark = docs.sparkSession
     common.ship(spark)
@@ -87,7 +89,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(vocabulary)
+        encode = tokens.encoder(vocabulary, special)
         part, before, at, out = TaskContext.get().partitionId(), 0, 0, None
         name = f"part-{part:05d}-{uuid.uuid4().hex}.rec"
         try:
@@ -162,5 +164,5 @@ def digests(records: DataFrame) -> DataFrame:
 def op4_records(spark, sf_dir: str) -> DataFrame:
     """Write all documents, read the files back and digest what they hold."""
     path = common.fresh_path(spark, "records")
-    write(common.table(spark, sf_dir, "documents"), path)
+    write(common.table(spark, sf_dir, "documents"), path, special=True)
     return digests(read(spark, path, packed=True))

@@ -43,12 +43,15 @@ def unit_starts(data: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts as the tokenizers library does, without special tokens, by the units of unit_starts()."""
+    """Encodes texts as the tokenizers library does, without adding special tokens, by the units of unit_starts().
 
-    def __init__(self, path: str):
+    special: a special token's string in a text becomes that token, as in the library's encode(); else it is ordinary text.
+    """
+
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
-        self.path, self.marked = path, Tokenizer.from_file(path)
+        self.path, self.special, self.marked = path, special, Tokenizer.from_file(path)
         self.mark, self.mark_id = next((t.content, i) for i, t in sorted(self.marked.get_added_tokens_decoder().items(), reverse=True))
         self.forget()
 
@@ -75,7 +78,7 @@ class Encoder:
         parts = [ids[a:b] for a, b in zip(np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(ids)])), strict=True)] if safe else []
         assert len(parts) == len(safe), "a unit encodes to the mark"
         if odd:
-            parts += [np.array(e.ids, np.uint32) for e in self.plain.encode_batch(odd, add_special_tokens=False)]
+            parts += [np.array(e.ids, np.uint32) for e in (self.marked if self.special else self.plain).encode_batch(odd, add_special_tokens=False)]
         more = np.concatenate(parts)
         while self.used + len(more) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
@@ -115,6 +118,6 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = False) -> Encoder:
     """One a Python worker: later tasks find its units known."""
-    return Encoder(path)
+    return Encoder(path, special)

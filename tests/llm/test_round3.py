@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.llm import fingerprints, licenses, negatives, packing, tries
+from quarrymill.llm import fingerprints, licenses, negatives, packing, records, tokens, tries
 
 WORDS = "amber boat cedar delta ember field grain harbor island jacket kettle lantern meadow needle orchard pepper quarry river saddle timber".split()
 
@@ -255,3 +255,25 @@ def test_packing_splits_a_hot_id(spark):
         assert p.offset == ends.get(p.sequence_id, 0)
         ends[p.sequence_id] = p.offset + p.length
     assert len(packed) == 600 and max(ends.values()) <= 2048 and len(ends) <= sum(p.length for p in packed) / 2048 + 2
+
+
+def test_op4_records_equal_the_librarys_plain_call(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.default_path(records.FILE))
+    ids_of = lambda t: np.array([*library.encode(t or "", add_special_tokens=False).ids, records.END_ID], "<u4")
+    rnd, ties = random.Random(4), []
+    while len(ties) < 5:  # texts that zstd neither shortens nor lengthens
+        text = prose(rnd, rnd.randint(20, 90))
+        raw = ids_of(text).astype("<u2").tobytes()
+        ties += [text] if len(records.press().compress(raw)) == len(raw) else []
+    for t in ties:
+        assert records.unframe(records.frame(1, ids_of(t)))[1].tolist() == ids_of(t).tolist()
+    texts = [*ties, "<|endoftext|>", "a <|endoftext|> b", "x\n<|endoftext|>\n\n's, <|endoftext|><|endoftext|> ", "<|endoftext| >", None, "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want, at = [], 0
+    for k, t in enumerate(texts):
+        ids = ids_of(t)
+        want.append((k, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in records.op4_records(spark, str(tmp_path)).collect()) == want

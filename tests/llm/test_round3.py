@@ -280,7 +280,7 @@ def test_op4_records_equal_the_librarys_plain_call(spark, tmp_path):
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in records.op4_records(spark, str(tmp_path)).collect()) == want
 
 
-@pytest.mark.parametrize("file", [records.FILE])
+@pytest.mark.parametrize("file", [records.FILE, packing.FILE])
 def test_encoder_has_the_library_encode_words_alone(file):
     from tokenizers import Tokenizer
 

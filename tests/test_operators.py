@@ -215,3 +215,17 @@ def test_chunks_by_a_vocabulary(spark):
     docs = spark.createDataFrame([(1, "# A\n" + "Ein längerer Satz ohne Ende " * 90), (2, None), (3, " ")], "doc_id long, text string")
     got = chunking.chunk_markdown(docs, "heading_strict", 64, tokenize=split).collect()
     assert len(got) > 5 and {r.doc_id for r in got} == {1} and all(r.n_tokens == len(known.encode(r.content, add_special_tokens=False).ids) <= 64 for r in got)
+
+
+def test_alignment_joins_names_not_edges(spark):
+    r = random.Random(7)
+    names = ["", "Red", "red bolt", "bolt", "a red bolt x", "gear", "EAR", "x", "geared red", None]
+    side = lambda first: [(first + k, r.choice("pq"), r.randint(1, 3), r.choice(names), r.random()) for k in range(120)]
+    needs, has = side(0), side(60)  # some ids are on both sides
+    schema = "edge_id long, source string, subject int, object string, confidence double"
+    got = graph.align(spark.createDataFrame(needs, schema), spark.createDataFrame(has, schema))
+    plain = lambda a, b: a.lower() in b.lower() or b.lower() in a.lower()
+    want = sorted((a[0], b[0]) for a in needs for b in has if None not in (a[3], b[3]) and a[1] == b[1] and a[2] != b[2] and a[0] != b[0] and plain(a[3], b[3]))
+    assert sorted((x.r_edge, x.m_edge) for x in got.collect()) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan  # no side of edges or pieces goes to the driver, whatever the tables' sizes

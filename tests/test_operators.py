@@ -229,3 +229,24 @@ def test_alignment_joins_names_not_edges(spark):
     assert sorted((x.r_edge, x.m_edge) for x in got.collect()) == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan  # no side of edges or pieces goes to the driver, whatever the tables' sizes
+
+
+def test_new_edges_of_many_alike_equal_a_plain_form(spark):
+    r = random.Random(11)
+    names = ["", "Red", "red bolt", "bolt", "gear", None]
+    side = lambda first: [(first + k, r.choice("pq"), r.randint(1, 4), r.choice(["proof", "lot"]), r.choice(names), r.choice(["PROVES", "HOLDS", None]), r.choice(["said", "", "it is the lot"]), r.random()) for k in range(150)]
+    needs, has = side(0), side(5)  # most ids are on both sides, so that the first ids of both can be one
+    schema = "edge_id long, source string, subject int, subject_name string, object string, kind string, evidence string, confidence double"
+    known = [(1, "SATISFIES", 2), (3, "PROVES", 4)]
+    a, b = spark.createDataFrame(needs, schema), spark.createDataFrame(has, schema)
+    got = graph.aligned_edges(a, b, spark.createDataFrame(known, "subject int, kind string, object int"), "proof").collect()
+    want = {}
+    for x in needs:
+        for y in has:
+            if x[1] == y[1] and x[2] != y[2] and x[0] != y[0] and None not in (x[4], y[4]) and (x[4].lower() in y[4].lower() or y[4].lower() in x[4].lower()):
+                key = x[1], y[2], "PROVES" if y[5] == "PROVES" or y[3] == "proof" else "SATISFIES", x[2]
+                if key[1:] not in known and (key not in want or (x[0], y[0]) < want[key][:2]):
+                    want[key] = x[0], y[0], " / ".join(filter(None, (y[6], x[6]))), max(0.5, 0.86 * min(x[7], y[7]))
+    assert {(x.source, x.subject, x.kind, x.object): (x.r_edge, x.m_edge, x.evidence, x.confidence) for x in got} == want and len(got) == len(want)
+    kept = graph.smallest(a, "r").groupBy("source", "r_object", "r_subject").count()
+    assert kept.agg(F.max("count")).first()[0] == 2  # however many edges are alike, two meet the other side

@@ -52,3 +52,14 @@ def test_every_part_is_on_a_side_and_expansion_tries_again(spark):
     assert ends & {r.edge_id for r in old}
     one, more = ({r.event_id for r in catalog.QUERIES[q](spark, DATA).collect()} for q in ("one_hop_events", "dynamic_expansion_retries"))
     assert one < more
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["alignment_theta_join", "alignment_all_parts"])
+def test_alignment_of_copies_of_parts_stays_off_the_driver(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (p_partkey + 1000 * k AS p_partkey) FROM '{DATA}/part.parquet', range(5) t(k)) TO '{tmp_path}/part.parquet'")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    got = catalog.QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(catalog.ORACLES[name]).fetchall())
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()

@@ -6,8 +6,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text, vector
+from . import nearest, shared
+
+#: Bytes of a cell's vectors on either side; rows that a cell has at least, and how many cells of rows there are as long as they are small enough.
+CELL_BYTES, LEAST_ROWS, CELLS = 1 << 25, 4096, 64
 
 
 def vector_topk(rows: DataFrame, query: list[float], k: int, id_col: str, vector_col: str = "embedding", threshold: float | None = None) -> DataFrame:
@@ -24,17 +30,24 @@ def query_vector(rows: DataFrame, id_col: str, id_value: int, vector_col: str =
     return [float(x) for x in found[0]] if found else []
 
 
-def multi_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str, vector_col: str = "embedding", block: int = 64) -> DataFrame:
-    """The k nearest rows of each query; ties by id. The queries are a table of blocks, about so many a block, and every row meets every
-    block, so that any number of queries is one scan and none reaches the driver; only the number of blocks does. Within a task and a
-    query only k rows are kept before the shuffle."""
-    asked = queries.select(F.col(query_col).alias("q"), F.col(vector_col).alias("v"))
-    blocks = max(1, -(-asked.count() // block))
-    asked = asked.groupBy(F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("at")).agg(F.collect_list(F.struct("q", "v")).alias("_block")).select("_block")
-    pairs = rows.select(id_col, vector_col).crossJoin(asked).select(id_col, vector_col, F.explode("_block").alias("_q"))
-    pairs = pairs.select(F.col("_q.q").alias(query_col), id_col, vector.cosine(F.col(vector_col), F.col("_q.v")).alias("score"))
+def multi_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str, vector_col: str = "embedding", block: int = 16384) -> DataFrame:
+    """The k nearest rows of each query, exactly; ties by id. Rows and queries are dealt into cells, every row meets every query in one of them, and of a cell only the k best of
+    each query go on; a cell holds `block` queries at most or so, and a bounded number of bytes on either side, so that no table reaches the driver or one task."""
+    shared.ship(rows.sparkSession)
+    left, right = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")), queries.select(F.col(query_col).alias("q"), F.col(vector_col).alias("q_v"))
+    sized = lambda df, v: df.agg(F.count("*"), F.coalesce(F.max(F.size(v)), F.lit(0))).first()
+    (n, width), (m, other) = sized(left, "v"), sized(right, "q_v")
+    most = max(64, CELL_BYTES // (8 * max(1, width, other)))  # vectors of either side of a cell
+    across, down = max(1, -(-m // min(block, most))), max(1, -(-n // min(max(LEAST_ROWS, n // CELLS), most)))
+    dealt = lambda df, col, own, rest: df.withColumn("at", F.pmod(F.xxhash64(col), F.lit(own)).cast("long")).withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(rest - 1))))
+    left = dealt(left, "id", down, across).select((F.col("at") * across + F.col("to")).alias("cell"), "id", "v")
+    right = dealt(right, "q", across, down).select((F.col("to") * across + F.col("at")).alias("cell"), "q", "q_v")
+    schema = StructType([StructField("q", right.schema["q"].dataType), StructField("id", left.schema["id"].dataType), StructField("score", DoubleType())])
+    arrow = to_arrow_schema(schema)
+    found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(lambda a, b: nearest.cell(a, b, k, arrow), schema)
+    found = found.select(F.col("q").alias(query_col), F.col("id").alias(id_col), "score")
     best = Window.partitionBy(query_col).orderBy(F.desc("score"), id_col)
-    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def entity_scores(rows: DataFrame, query: str, name_col: str, extra_col: str) -> DataFrame:

@@ -250,3 +250,34 @@ def test_new_edges_of_many_alike_equal_a_plain_form(spark):
     assert {(x.source, x.subject, x.kind, x.object): (x.r_edge, x.m_edge, x.evidence, x.confidence) for x in got} == want and len(got) == len(want)
     kept = graph.smallest(a, "r").groupBy("source", "r_object", "r_subject").count()
     assert kept.agg(F.max("count")).first()[0] == 2  # however many edges are alike, two meet the other side
+
+
+def test_nearest_of_odd_vectors_equal_a_plain_form(spark, monkeypatch):
+    monkeypatch.setattr(search, "LEAST_ROWS", 16)  # several cells
+    r = random.Random(3)
+    odd = [None, [], [0.0] * 5, [1.0, None, 2.0, 0.5, 1.0], [1.0, float("nan"), 1.0, 1.0, 1.0], [float("inf"), 1.0, 1.0, 1.0, 1.0], [1e-170] * 5, [1e160] * 5, [1.0, 2.0], [3.0, 1.0, 1.0, None], [1.0] * 9]
+    rows = [(k, [r.gauss(0, 1) for _ in range(5)]) for k in range(60)]
+    rows = rows + [(k + 60, rows[k % 7][1]) for k in range(30)] + [(k + 90, v) for k, v in enumerate(odd)]
+    df = spark.createDataFrame(rows, "i long, embedding array<double>")
+    asked = df.filter("i % 3 = 0 or i > 85").select(F.col("i").alias("q"), "embedding")
+    got = {(x.q, x["rank"]): (x.i, x.score) for x in search.multi_topk(df, asked, 4, "i", "q", block=13).collect()}
+    pairs = df.crossJoin(asked.withColumnRenamed("embedding", "v")).withColumn("score", search.vector.cosine(F.col("embedding"), F.col("v")))
+    pairs = pairs.withColumn("rank", F.row_number().over(search.Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "i"))).filter("rank <= 4")
+    same = lambda a, b: a is b is None or (a != a and b != b) or abs(a - b) < 1e-9
+    want = {(x.q, x["rank"]): (x.i, x.score) for x in pairs.collect()}
+    assert got.keys() == want.keys()
+    assert not [(k, got[k], w) for k, w in want.items() if got[k][0] != w[0] or not same(got[k][1], w[1])]
+
+
+def test_nearest_of_multiples_tie_as_in_sql(spark):
+    import duckdb
+
+    rows = [(k, [round(c * x, 3) for x in (0.1, 0.7, -0.3, 0.9)]) for k, c in enumerate([1 + n / 8 for n in range(80)])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE e (i BIGINT, v FLOAT[])")
+    con.executemany("INSERT INTO e VALUES (?, ?)", rows)
+    want = con.execute("SELECT q.i, e.i, row_number() OVER (PARTITION BY q.i ORDER BY list_cosine_similarity(e.v::DOUBLE[], q.v::DOUBLE[]) DESC, e.i) AS n FROM e, e q QUALIFY n <= 20").fetchall()
+    df = spark.createDataFrame(rows, "i long, embedding array<float>")
+    got = search.multi_topk(df, df.withColumnRenamed("i", "q"), 20, "i", "q")
+    assert {(x.q, x.i, x["rank"]) for x in got.collect()} == set(want)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row of the plan is a pair that isn't among the best of a cell

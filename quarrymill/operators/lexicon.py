@@ -3,12 +3,21 @@
 A lexicon has rows list, rule, kind, ord, term: canonical names (list "canonical", each a rule), expansion rules (list "expansion", with kind "match" and "term")
 and type rules (list "type", kind "match"). A term is looked for by its anchor, the rarest of its pieces of GRAM letters among all terms
 (a shorter term is its own anchor): a text's distinct pieces meet anchors in one join, and only terms whose anchor is there are compared with the text.
+For what domain_entities gives, a lexicon that fits a task is looked for by one walk over each text instead, and a text's terms are told where it is read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from . import shared
+from .automaton import Words
 
 c = F.col
 GRAM, FIRST_TERMS, FIRST_MATCHES, MOST = 3, 6, 4, 40
@@ -62,6 +71,97 @@ def ordered(found: DataFrame, most: int | None) -> DataFrame:
     return first.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("terms"))
 
 
+class Terms:
+    """A small lexicon's terms in the order in which a text is given them, as items: a canonical name, or what a rule lends and what it owns. Groups are what is held at once."""
+
+    def __init__(self, rows: list[Row], expansions: bool, most: int):
+        self.most = most
+        nulls_first = lambda x: (x is not None, x)
+        rows = sorted((r for r in rows if r.list in LISTS), key=lambda r: (LISTS.index(r.list), nulls_first(r.rule), nulls_first(r.ord), r.term))
+        self.words = Words(list(dict.fromkeys(r.low for r in rows)))
+        number = {w: k for k, w in enumerate(dict.fromkeys(r.low for r in rows))}
+        groups: dict = {}
+        for n, r in enumerate(rows):
+            groups.setdefault((r.list, n if r.list == "canonical" else r.rule), []).append(r)
+        self.items, self.groups, self.held_by, self.starts, same = [], [], [], [], {}
+        for (kind, rule), own in groups.items():
+            lent = [r for r in own if r.kind == ("match" if kind == "type" else "term")] if kind != "canonical" and rule is not None else []
+            lent = lent[: FIRST_MATCHES if kind == "type" else FIRST_TERMS if expansions else 0]
+            told = [(r, None) for r in lent] + [(r, number[r.low]) for r in own if kind == "canonical" or kind == "expansion" and r.kind == "term"]
+            self.groups.append([(len(self.items) + n, same.setdefault(r.term, len(same)), w) for n, (r, w) in enumerate(told)])
+            self.items += [r.term for r, _ in told]
+            self.starts.append(len(self.held_by))
+            self.held_by += [number[r.low] for r in own]
+        self.held_by = np.array(self.held_by, np.int64)
+
+    def of(self, texts: list[str]) -> Iterator[list[int]]:
+        """Every text's items, the first of each term, in order."""
+        if not self.groups:
+            yield from ([] for _ in texts)
+            return
+        for held in self.words.held(texts):
+            groups = np.logical_or.reduceat(held[:, self.held_by], self.starts, axis=1)
+            for has, at in zip(held, groups, strict=True):
+                out: dict[int, int] = {}
+                for g in np.flatnonzero(at).tolist():
+                    for item, term, word in self.groups[g]:
+                        if word is None or has[word]:
+                            out.setdefault(term, item)
+                    if len(out) >= self.most:
+                        break
+                yield list(out.values())[: self.most]
+
+    def together(self, found: list[list[int]]) -> list[int]:
+        """The items of texts under one id: the first ones of them all, and of a term the first."""
+        first: dict[str, int] = {}
+        for item in sorted(x for items in found for x in items):
+            first.setdefault(self.items[item], item)
+        return list(first.values())[: self.most]
+
+
+def told_in_place(texts: DataFrame, id_col: str, text_col: str, rows: list[Row], triggers: list[str], expansions: bool) -> DataFrame:
+    """domain_entities by one walk over the texts; only ids and numbers of terms are shuffled, as rows of one id count as one text."""
+    spark = texts.sparkSession
+    shared.ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    terms = Terms(rows, expansions, MOST)
+    low = texts.select(c(id_col).alias("id"), F.lower(text_col).alias("text")).filter("text is not null")
+    kind = to_arrow_type(low.schema["id"].dataType)
+    batch = lambda ids, items: pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(items, pa.list_(pa.int32()))], ["id", "items"])
+
+    def walk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ids, own = b.column(0), b.column(1).to_pylist()
+            at = [k for k, t in enumerate(own) if any(w in t for w in triggers)]
+            found = [(k, items) for k, items in zip(at, terms.of([own[k] for k in at]), strict=True) if items]
+            yield batch(ids.take(pa.array([k for k, _ in found], pa.int64())), [items for _, items in found])
+
+    def name(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, last = pa.array(terms.items, pa.string()), None
+
+        def named(ids: list, items: list[list[int]]) -> pa.RecordBatch:
+            offsets = np.cumsum([0, *map(len, items)])
+            flat = names.take(pa.array([x for i in items for x in i], pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], ["id", "terms"])
+
+        for b in it:
+            ids, items = [], []
+            for k, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if last is not None and last[0] == k:
+                    last[1].append(own)
+                    continue
+                if last is not None:
+                    ids.append(last[0])
+                    items.append(last[1][0] if len(last[1]) == 1 else terms.together(last[1]))
+                last = k, [own]
+            yield named(ids, items)
+        if last is not None:
+            yield named([last[0]], [terms.together(last[1])])
+
+    id_type = low.schema["id"].dataType.simpleString()
+    return low.mapInArrow(walk, f"id {id_type}, items array<int>").repartition("id").sortWithinPartitions("id").mapInArrow(name, f"id {id_type}, terms array<string>")
+
+
 def domain_entities(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, triggers: tuple[str, ...] = TRIGGERS, expansions: bool = True) -> DataFrame:
     """id and terms (MOST at most) of texts that hold a trigger: canonical names they hold, then by rule the first FIRST_TERMS terms of expansion rules of
     which they hold a match or a term, with the terms they hold, then the first FIRST_MATCHES matches of type rules of which they hold one.
@@ -69,8 +169,11 @@ def domain_entities(texts: DataFrame, id_col: str, text_col: str, lexicon: DataF
     Texts without any have no row. Without expansions an expansion rule gives only the terms that are held.
     """
     lexicon = normalized(lexicon)
-    told = c(text_col).isNotNull() & F.exists(F.array(*map(F.lit, triggers)), lambda w: F.lower(text_col).contains(F.lower(w)))
     size = lexicon.count()
+    if size <= SMALL:
+        own = lexicon.sparkSession.range(1).select(*(F.lower(F.lit(w)).alias(str(n)) for n, w in enumerate(triggers))).first()
+        return told_in_place(texts, id_col, text_col, lexicon.withColumn("low", F.lower("term")).collect(), list(own), expansions)
+    told = c(text_col).isNotNull() & F.exists(F.array(*map(F.lit, triggers)), lambda w: F.lower(text_col).contains(F.lower(w)))
     held = hits(texts.filter(told), id_col, text_col, lexicon).join(sized(lexicon.withColumn("low", F.lower("term")), size), "low").select("id", "list", "rule", "kind", "ord", "term")
     place = F.array_position(F.array(*map(F.lit, LISTS)), c("list")).cast("int")
     own = held.filter("list = 'canonical' or (list = 'expansion' and kind = 'term')").select("id", "term", F.struct(place.alias("list"), "rule", F.lit(1).alias("part"), "ord").alias("at"))

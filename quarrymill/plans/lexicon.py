@@ -17,12 +17,9 @@ LAYOUT = (("canonical", "match", ((1, 3),)), ("expansion", "match", ((4, 5),)),
 
 def of_benchmark(spark, d) -> DataFrame:
     words = table(spark, d, "benchmark").select(c("item_id").alias("rule"), F.split("text", " ").alias("w"))
-    rows = None
-    for name, kind, places in LAYOUT:
-        for n, (a, b) in enumerate(places):
-            one = words.select(F.lit(name).alias("list"), c("rule").cast("long").alias("rule"), F.lit(kind).alias("kind"), F.lit(n).alias("ord"), F.array_join(F.slice("w", a, b - a + 1), " ").alias("term"))
-            rows = one if rows is None else rows.unionByName(one)
-    return rows
+    places = [(name, kind, n, a, b) for name, kind, places in LAYOUT for n, (a, b) in enumerate(places)]
+    terms = F.array(*(F.struct(F.lit(name).alias("list"), c("rule").cast("long").alias("rule"), F.lit(kind).alias("kind"), F.lit(n).alias("ord"), F.array_join(F.slice("w", a, b - a + 1), " ").alias("term")) for name, kind, n, a, b in places))
+    return words.select(F.inline(terms))
 
 
 PARTS = " UNION ALL ".join(f"SELECT '{name}' AS list, item_id AS rule, '{kind}' AS kind, {n} AS ord, array_to_string(string_split(text, ' ')[{a}:{b}], ' ') AS term FROM benchmark" for name, kind, places in LAYOUT for n, (a, b) in enumerate(places))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quarrymill.operators import lexicon
+from quarrymill.operators import automaton, lexicon
 
 LEX = "list string, rule long, kind string, ord int, term string"
 
@@ -60,3 +60,33 @@ def test_queries_are_expanded_by_rules_and_aliases(spark):
     assert got[1] == (["danger", "loss", "price", "CA", "certificate", "PM", "project lead"], "Cost and RISK danger loss price CA certificate PM project lead")
     assert got[2] == ([], "plain") and got[3] == (["x", "y"], "danger x y")
     assert lexicon.expanded(queries, "k", "t", lex).count() == 3
+
+
+def test_words_that_texts_hold(monkeypatch):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("aab中\U0001f600 ") for _ in range(rnd.randint(1, n)))
+    words = list(dict.fromkeys(word(6) for _ in range(120)))
+    texts = [word(300) for _ in range(40)] + ["", "xyz", words[3], "a" * 500]
+    want = [[w in t for w in words] for t in texts]
+    for dense, places, cells in ((1 << 23, 1 << 20, 1 << 24), (0, 1 << 20, 1 << 24), (1 << 23, 64, 1), (0, 100, 700)):
+        for name, value in (("DENSE", dense), ("PLACES", places), ("CELLS", cells)):
+            monkeypatch.setattr(automaton, name, value)
+        assert [row.tolist() for held in automaton.Words(words).held(texts) for row in held] == want
+    assert [held.shape for held in automaton.Words([]).held(["a", ""])] == [(2, 0)]
+
+
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_rows_of_one_id_are_one_text(spark, monkeypatch, small):
+    monkeypatch.setattr(lexicon, "SMALL", small)
+    lex = spark.createDataFrame(rows(["x1"], [(["b1"], [f"e{k}" for k in range(9)])], [["t1", "t2"]]), LEX)
+    texts = [(1, "go t1"), (1, "go e8 b1"), (None, "go x1"), (None, "go t2"), (2, "e1"), (3, "go"), (1, "go x1 e7")]
+    got = {r.id: r.terms for r in lexicon.domain_entities(spark.createDataFrame(texts, "id long, t string"), "id", "t", lex, ("GO",)).collect()}
+    lent = [f"e{k}" for k in range(6)]
+    assert got == {1: ["x1", *lent, "e7", "e8", "t1", "t2"], None: ["x1", "t1", "t2"]}
+    assert lexicon.domain_entities(spark.createDataFrame(texts, "id long, t string"), "id", "t", lex.limit(0), ("GO",)).count() == 0
+
+
+def test_a_small_lexicon_makes_no_row_a_term_held(spark):
+    lex = spark.createDataFrame(rows(["ab"]), LEX)
+    plan = lexicon.domain_entities(spark.createDataFrame([(1, "ab go")], "id long, t string"), "id", "t", lex, ("go",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and "Window" not in plan

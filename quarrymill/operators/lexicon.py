@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from . import shared
-from .automaton import Words
+from . import automaton, shared
 
 c = F.col
 GRAM, FIRST_TERMS, FIRST_MATCHES, MOST = 3, 6, 4, 40
@@ -78,7 +77,7 @@ class Terms:
         self.most = most
         nulls_first = lambda x: (x is not None, x)
         rows = sorted((r for r in rows if r.list in LISTS), key=lambda r: (LISTS.index(r.list), nulls_first(r.rule), nulls_first(r.ord), r.term))
-        self.words = Words(list(dict.fromkeys(r.low for r in rows)))
+        self.words = automaton.Words(list(dict.fromkeys(r.low for r in rows)))
         number = {w: k for k, w in enumerate(dict.fromkeys(r.low for r in rows))}
         groups: dict = {}
         for n, r in enumerate(rows):
@@ -99,7 +98,8 @@ class Terms:
         if not self.groups:
             yield from ([] for _ in texts)
             return
-        for held in self.words.held(texts):
+        step = max(1, automaton.CELLS // len(self.held_by))
+        for held in (h[k : k + step] for h in self.words.held(texts) for k in range(0, len(h), step)):
             groups = np.logical_or.reduceat(held[:, self.held_by], self.starts, axis=1)
             for has, at in zip(held, groups, strict=True):
                 out: dict[int, int] = {}

@@ -90,3 +90,16 @@ def test_a_small_lexicon_makes_no_row_a_term_held(spark):
     lex = spark.createDataFrame(rows(["ab"]), LEX)
     plan = lexicon.domain_entities(spark.createDataFrame([(1, "ab go")], "id long, t string"), "id", "t", lex, ("go",))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan and "Window" not in plan
+
+
+def test_terms_are_told_in_steps_of_few_texts(monkeypatch):
+    from pyspark.sql import Row
+
+    lex = [Row(list=a, rule=b, kind=k, ord=o, term=t, low=t.lower()) for a, b, k, o, t in rows(["A", "Bc"], [(["c"], ["d", "E"])], [["e", "f"]])]
+    texts = ["a bc", "d", "c e", "", "f a"]
+    want = [["A", "Bc", "d", "E"], ["d", "E"], ["d", "E", "e", "f"], [], ["A", "e", "f"]]
+    for cells in (1, 1 << 24):
+        monkeypatch.setattr(automaton, "CELLS", cells)
+        terms = lexicon.Terms(lex, True, 40)
+        assert [[terms.items[x] for x in items] for items in terms.of(texts)] == want
+    assert [[terms.items[x] for x in items] for items in lexicon.Terms(lex, True, 2).of(texts)] == [w[:2] for w in want]
